@@ -6,10 +6,15 @@ sought outside one. A shard of over `shard_rows` members is dealt again under th
 over the bits not yet used), up to three levels; the last level's shards can't exceed 2**19 values. Each shard's
 BK-tree is built and searched in the task that reads it: a cluster-wide broadcast of all trees would grow with the
 corpus. Copies never meet in a shard, as only distinct fingerprints enter one.
+
+For a similarity instead of two bits (similar_documents), fingerprints have 512 bits, and shards hold what agrees on
+some bits at random places. How many bits and how many such tables follows from the number of fingerprints and the
+recall asked for at the least similarity, so shards stay small and recall stays put at any size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,7 +122,7 @@ class BKTree:
 
 
 def shard_links(members: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a shard of (fp, node): as few pairs as keep all that is connected so."""
+    """A spanning forest of the links within a shard of (fp, node), fp not negative: as few pairs as keep all that is connected so."""
     tree, up, node, out = BKTree(), {}, {}, []
 
     def top(x: int) -> int:
@@ -127,7 +132,6 @@ def shard_links(members: list[tuple[int, int]], radius: int) -> list[tuple[int,
         return x
 
     for fp, n in members:
-        fp &= (1 << 64) - 1
         near = tree.add(fp, radius)
         up[fp], node[fp] = fp, n
         for other in near:
@@ -152,7 +156,7 @@ def _searched(radius: int):
                     if len(members) > 1:
                         yield found()
                     key, members = (mask, part), []
-                members.append((fp, n))
+                members.append((fp & (1 << 64) - 1, n))
         if len(members) > 1:
             yield found()
 
@@ -197,3 +201,137 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, shard
     classes = written(nodes.join(found.withColumnRenamed("component", "c"), "node", "left").select("fp", F.coalesce("c", "node").alias("c")), "classes")
     named = F.when(F.col("c") < NO_ID, F.col("c")).alias("component_id")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), named)
+
+
+WIDE = 512
+
+
+def wide_bits(hashes: np.ndarray) -> bytes:
+    """A WIDE-bit SimHash of a set of 64-bit hashes, each stretched to WIDE bits by a mixing step for every word."""
+    hashes = np.unique(hashes)
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 255):
+        z = hashes[at : at + 255, None] + np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.view(np.uint8).reshape(len(z), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def unlike_share(similarity: float) -> float:
+    """The share of bits in which SimHashes of sets of this Jaccard similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def plan_tables(rows: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Bits of a table's key and number of tables: keys for about 64 rows each, tables for the recall."""
+    bits = max(12, math.ceil(math.log2(max(rows, 1) / 64)))
+    hit = (1 - unlike_share(similarity)) ** bits
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
+
+
+def _dealt(bits: int, tables: int):
+    places = np.random.default_rng(20).permuted(np.tile(np.arange(WIDE), (tables, 1)), axis=1)[:, :bits]
+    powers = 1 << np.arange(bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                fps, nodes = b.slice(i, 1024).columns
+                flat = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(len(fps), -1)
+                every = np.unpackbits(flat, axis=1, bitorder="little")
+                for t in range(tables):
+                    shard = every[:, places[t]] @ powers + (np.int64(t) << 48)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), fps, nodes], names=["shard", "fp", "node"])
+
+    return run
+
+
+def _grouped(radius: int):
+    """Links within each run of (shard, salt); of salted runs also one survivor of each group, for another round."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            rows = [(u, v, None, None) for u, v in shard_links([(int.from_bytes(fp, "little"), n) for fp, n in members], radius)]
+            if key[1] >= 0:
+                joined = {u for u, *_ in rows}
+                rows += [(n, None, key[0], fp) for fp, n in members if n not in joined]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["u", "v", "shard", "fp"])
+
+        for b in batches:
+            for shard, salt, fp, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (shard, salt) != key:
+                    if members and (len(members) > 1 or key[1] >= 0):
+                        yield from found()
+                    key, members = (shard, salt), []
+                members.append((fp, n))
+        if members and (len(members) > 1 or key[1] >= 0):
+            yield from found()
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float, recall: float, shard_rows: int = 512) -> DataFrame:
+    """(u, v) between nodes (fp: WIDE bits, node): links of at least the similarity, and few enough of them to connect
+    what they connect. A shard of over shard_rows is salted into parts; one survivor of each group found in a part goes
+    to the next round, until the shard fits or no longer shrinks."""
+    share = unlike_share(similarity)
+    radius = round(WIDE * (share + 1.3 * math.sqrt(share * (1 - share) / WIDE)))
+    left = nodes.mapInArrow(_dealt(*plan_tables(nodes.count(), similarity, recall)), "shard long, fp binary, node long")
+    out, before, salting = [], None, True
+    while True:
+        sizes = left.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
+        sizes = written(sizes.select(F.col("shard").alias("large"), "n"), "hot")
+        hot = sizes.agg(F.sum("n")).first()[0] if salting else None
+        salting = bool(hot) and (before is None or hot < 0.7 * before)
+        parts = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / shard_rows))
+        salt = F.coalesce(parts, F.lit(-1)) if salting else F.lit(-1)
+        dealt = left.join(sizes, left["shard"] == sizes["large"], "left").withColumn("salt", salt.cast("long"))
+        found = dealt.select("shard", "salt", "fp", "node").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node")
+        found = written(found.mapInArrow(_grouped(radius), "u long, v long, shard long, fp binary"), "similar")
+        out.append(found.where("v is not null").select("u", "v"))
+        if not salting:
+            break
+        left, before = found.where("v is null").select("shard", "fp", F.col("u").alias("node")), hot
+    links = out[0]
+    for more in out[1:]:
+        links = links.union(more)
+    return links
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
+    """(doc_id, h, component) of every row: h is its text's xxhash64, component the least node of its class.
+
+    Texts are linked if their SimHashes over the sets of width-word shingles differ in no more bits than sets of the
+    least similarity are expected to, and a little over one standard deviation; every such link is found with the
+    recall asked for, at the least similarity (higher above it). Null and wordless texts are one class.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [wide_bits(shingle_hashes(t.as_py(), width)) for t in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], names=["doc_id", "h", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    fps = written(rows.mapInArrow(run, "doc_id long, h long, fp binary"), "wide")
+    # a class of texts without any doc_id gets a node from its least hash
+    nodes = fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.min("h"), 2) + F.lit(NO_ID)).alias("node"))
+    nodes = written(nodes, "nodes")
+    found = connected_components(similar_links(nodes, similarity, recall))
+    classes = written(nodes.join(found.withColumnRenamed("component", "c"), "node", "left").select("fp", F.coalesce("c", "node").alias("component")), "classes")
+    return fps.join(classes, "fp").select("doc_id", "h", "component")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
+    """docs' rows, all columns, of which one stays for each class of near-duplicates: that of the least doc_id."""
+    classes = similar_documents(docs, width, similarity, recall)
+    stays = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s"))
+    stays = stays.select(F.col("s.doc_id").alias("_doc"), F.col("s.h").alias("_h"))
+    h = F.xxhash64("text")
+    joined = docs.withColumn("_h0", h).join(stays, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h0") == F.col("_h")))
+    return joined.dropDuplicates(["_doc", "_h"]).select(*docs.columns)
