@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from .common import RangeBuckets, fresh_path, written
 
 MARK = "\x1e<record-mark:01>"
 _MARK = MARK.encode()
-CACHED = 300_000
+CACHED = 700_000
 
 
 def masked(crc: int) -> int:
@@ -63,15 +64,19 @@ def unframe(data: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class WordEncoder:
-    """The library's encoding of whole texts, each distinct word encoded once.
+    """The library's encoding of whole texts, each distinct piece encoded once.
 
-    Only for tokenizers that drop white space and whose steps never look across a space or line end. Words are sent to
-    the library many at a time, as one text, and its offsets tell them apart. Words of ASCII letters and a tail of ASCII
-    signs are cached by their two parts, as the pattern always splits there.
+    Only for tokenizers that compose (NFC), lower-case, drop white space and split by PIECE. Texts of Latin letters,
+    which composing leaves alone, are cut by that pattern; others at spaces and line ends, which no step looks across.
+    Pieces that aren't known yet are sent to the library many at a time, as one text, and its offsets tell them apart.
     """
 
-    #: Letters, then signs but no quote (which may begin a contraction).
-    SPLIT = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+    #: Fixed value: the tokenizer's own pattern.
+    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+    #: The same over lower-cased ASCII.
+    ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
+    #: Characters that composing may change, and the beginning of a special token.
+    ODD = regex.compile("[^\x00-\u024f]|<\\|").search
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,27 +87,22 @@ class WordEncoder:
         self.library.no_padding()
         self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
+        low = text.lower()
+        if self.ODD(low):
+            pieces = text.replace("\n", " ").split(" ")
+        else:
+            pieces = self.ASCII_PIECE(low) if low.isascii() else self.PIECE(low)
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        new = set(pieces).difference(known)
         if new:
             if len(known) + len(new) > CACHED:
                 known.clear()
-                self.parts.clear()
-                new = list(set(words))
-            self._learn(new)
-        return np.frombuffer(b"".join([known[w] for w in words]), self.kind)
-
-    def _learn(self, words: list[str]) -> None:
-        split = {w: (m[1].lower(), m[2]) if (m := self.SPLIT(w)) else (w,) for w in words}
-        parts = self.parts
-        new = [p for p in {p for ps in split.values() for p in ps} if p not in parts]
-        if new:
-            parts.update(zip(new, self._encoded(new), strict=True))
-        self.known.update((w, b"".join([parts[p] for p in ps])) for w, ps in split.items())
+                new = set(pieces)
+            new = list(new)
+            known.update(zip(new, self._encoded(new), strict=True))
+        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), self.kind)
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         out = []
