@@ -87,33 +87,40 @@ class WordEncoder:
         self.library.no_padding()
         self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def encode(self, text: str) -> np.ndarray:
+    def pieces(self, text: str) -> tuple[list[str], bool]:
+        """The text's pieces, and whether each is exactly one word of the tokenizer."""
         low = text.lower()
         if self.ODD(low):
-            pieces = text.replace("\n", " ").split(" ")
-        else:
-            pieces = self.ASCII_PIECE(low) if low.isascii() else self.PIECE(low)
+            return text.replace("\n", " ").split(" "), False
+        return (self.ASCII_PIECE if low.isascii() else self.PIECE)(low), True
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        every = [self.pieces(t) for t in texts]
+        if len(self.known) > CACHED:
+            self.known.clear()
         known = self.known
-        new = set(pieces).difference(known)
-        if new:
-            if len(known) + len(new) > CACHED:
-                known.clear()
-                new = set(pieces)
-            new = list(new)
-            known.update(zip(new, self._encoded(new), strict=True))
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), self.kind)
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
-            found = self.library.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(found.ids, self.kind)
-            ends = np.cumsum([len(w) + 1 for w in some])
-            at = np.searchsorted([a for a, _ in found.offsets], ends).tolist()
-            out += [ids[a:b].tobytes() for a, b in zip([0, *at], at, strict=False)]
-        return out
+        for whole in (True, False):
+            new = list(set().union(*(ps for ps, w in every if w == whole)).difference(known))
+            for i in range(0, len(new), 4000):
+                some = new[i : i + 4000]
+                known.update(zip(some, self._encoded(some, whole), strict=True))
+        return [np.frombuffer(b"".join(map(known.__getitem__, ps)), self.kind) for ps, _ in every]
+
+    def _encoded(self, pieces: list[str], whole: bool) -> list[bytes]:
+        found = self.library.encode(" ".join(pieces), add_special_tokens=False)
+        ids = np.array(found.ids, self.kind)
+        if whole:
+            at = np.flatnonzero(self.ends[ids]) + 1
+        else:
+            ends = np.cumsum([len(p) + 1 for p in pieces])
+            at = np.searchsorted([a for a, _ in found.offsets], ends)
+        width, packed = ids.itemsize, ids.tobytes()
+        at = (at * width).tolist()
+        return [packed[a:b] for a, b in zip([0, *at], at, strict=False)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -129,12 +136,10 @@ def _framed(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                frames = [
-                    frame(doc_id, np.append(words.encode(text.as_py() or ""), np.array([end_id], words.kind)))
-                    for doc_id, text in zip(part.column(1).to_pylist(), part.column(2), strict=True)
-                ]
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                encoded = words.encode([t or "" for t in part.column(2).to_pylist()])
+                frames = [frame(doc_id, np.append(ids, np.array([end_id], words.kind))) for doc_id, ids in zip(part.column(1).to_pylist(), encoded, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(frames, pa.binary())], names=["shard", "doc_id", "frame"])
 
     return run
