@@ -100,7 +100,8 @@ def word_order(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> list[st
 
 
 def join_templates(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, h, block, template, label, containment) for every block that meets a template; h: the text's xxhash64.
+    """(doc_id, h, block, template, label, containment, size) for every block that meets a template; h: the text's
+    xxhash64; size: the template's distinct words.
 
     docs: doc_id, text. Null texts have no blocks; equal rows give their matches once. A template without words is
     met by nothing.
@@ -122,19 +123,24 @@ def join_templates(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     pairs = firsts.join(prefixes, "word").where(1 + F.least(F.size("words") - F.col("i") - 1, F.size("held") - F.col("j") - 1) >= F.col("need"))
     common = F.size(F.array_intersect("held", "words"))
     met = pairs.withColumn("common", common).where("common >= need").withColumn("containment", F.col("common") / F.size("words"))
-    return met.select("doc_id", "h", "block", "template", "label", "containment").distinct()
+    return met.select("doc_id", "h", "block", "template", "label", "containment", F.size("words").alias("size")).distinct()
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, n_words, the phrases' places (n_base, first_word, last_word), labels and score.
 
-    base_labels: labels of the phrases found; labels: those and the joined templates'; both distinct, sorted,
+    base_labels: labels of the phrases found; labels: those and, for each block that meets templates, that of the template
+    it holds most of (the larger one of equals); both distinct, sorted,
     comma-joined, empty where there are none. score: 1 if a phrase stands, else the best containment of a template
     that is met, else 0. Null texts count as empty; repeated rows come back as often as they came; an empty table
     gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    met = join_templates(docs, templates, threshold).groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    met = join_templates(docs, templates, threshold)
+    rank = F.struct("containment", "size")
+    blocks = met.groupBy("doc_id", "h", "block").agg(F.max(rank).alias("top"), F.collect_set(F.struct(rank.alias("rank"), "label")).alias("every"))
+    best = F.transform(F.filter("every", lambda x: x["rank"] == F.col("top")), lambda x: x["label"])
+    met = blocks.select("doc_id", "h", "top", F.explode(best).alias("label")).groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("top.containment").alias("best"))
     met = written(met.withColumnsRenamed({"doc_id": "_doc", "h": "_h"}), "licenses")
     base = docs.select("doc_id", F.xxhash64("text").alias("h"), F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), phrase_places(F.col("text"), phrases).alias("places"))
     rows = base.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")), "left")

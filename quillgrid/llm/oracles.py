@@ -93,8 +93,9 @@ t(k, label, tw) AS (VALUES {templates}),
 w AS (SELECT id, doc_id, regexp_extract_all({low("text")}, {word}) AS ws, text FROM d),
 p AS (SELECT id, doc_id, len(ws) AS n, {places} AS places FROM w),
 b AS (SELECT id, list_distinct(regexp_extract_all({low("line")}, {word})) AS bw FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d)),
-m AS (SELECT id, label, len(list_intersect(tw, bw)) / len(tw) AS c FROM b JOIN t ON len(list_intersect(tw, bw)) >= ceil({threshold} * len(tw) - 1e-9)),
-f AS (SELECT id, list(DISTINCT label) AS found, max(c) AS best FROM m GROUP BY id)
+b2 AS (SELECT *, row_number() OVER () AS block FROM b),
+m AS (SELECT id, label, len(list_intersect(tw, bw)) / len(tw) AS c, rank() OVER (PARTITION BY block ORDER BY len(list_intersect(tw, bw)) / len(tw) DESC, len(tw) DESC) AS k FROM b2 JOIN t ON len(list_intersect(tw, bw)) >= ceil({threshold} * len(tw) - 1e-9)),
+f AS (SELECT id, list(DISTINCT label) AS found, max(c) AS best FROM m WHERE k = 1 GROUP BY id)
 SELECT doc_id, n AS n_words, len(places)::BIGINT AS n_base, list_min(list_transform(places, lambda x: x.at)) AS first_word, list_max(list_transform(places, lambda x: x.at)) AS last_word,
   coalesce(array_to_string(list_sort(list_distinct(list_transform(places, lambda x: x.label))), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_transform(places, lambda x: x.label) || coalesce(found, []))), ','), '') AS labels,

@@ -113,7 +113,7 @@ class WordEncoder:
     def _encoded(self, pieces: list[str], whole: bool) -> list[bytes]:
         found = self.library.encode(" ".join(pieces), add_special_tokens=False)
         ids = np.array(found.ids, self.kind)
-        if whole:
+        if whole and self.ends[ids].sum() == len(pieces):
             at = np.flatnonzero(self.ends[ids]) + 1
         else:
             ends = np.cumsum([len(p) + 1 for p in pieces])
@@ -175,7 +175,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     if not spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").where("path like '%/part-%'").take(1):
         return spark.createDataFrame([], "shard int, file string, offset long, length long, doc_id long, start long, n_tokens long, ids_crc32 long")
     lines = spark.read.schema("value string, shard int").option("lineSep", MARK).text(path)
-    raw = lines.select(F.col("value").cast("binary").alias("value"), "shard", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    raw = lines.select(F.col("value").cast("binary").alias("value"), "shard", F.concat(F.lit("shard="), F.col("shard").cast("string"), F.lit("/"), F.col("_metadata.file_name")).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     found = raw.mapInArrow(_parsed, "shard int, file string, block long, row long, doc_id long, n_tokens long, ids_crc32 long, length long")
     found = written(found, "records")
     shards = found.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
