@@ -23,6 +23,9 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: Up to this size of its words the templates' index is broadcast; a larger one is joined by shuffling.
+BROADCAST_BYTES = 4 << 20
+
 #: Phrases whose places are counted, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -115,6 +118,8 @@ def join_templates(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
         index += [(w, k, label, ws, i, need) for i, w in enumerate(ws[: len(ws) - need + 1])]
     least = min((x[-1] for x in index), default=1)
     prefixes = docs.sparkSession.createDataFrame(index, "word string, template int, label string, words array<string>, i int, need int")
+    if sum(len(w.encode()) + 8 for x in index for w in x[3]) <= BROADCAST_BYTES:
+        prefixes = F.broadcast(prefixes)
     known = F.array(*[F.lit(w) for w in order]).cast("array<string>")
     blocks = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
     blocks = blocks.select("doc_id", "h", "block", F.array_intersect(known, words(F.col("line"))).alias("held"))
