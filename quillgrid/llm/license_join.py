@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Up to this size of its words the templates' index is broadcast; a larger one is joined by shuffling.
 BROADCAST_BYTES = 4 << 20
@@ -89,16 +87,30 @@ def _places(ws: Column, phrases: Sequence[tuple[str, str]]) -> Column:
     return F.concat(*[found(*x) for x in phrases])
 
 
-def frequencies(docs: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+def held_words(docs: DataFrame, vocabulary: Sequence[str], phrases: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(doc_id, h, places, lines) as a written table: each line's number of words and which of the vocabulary it holds.
+    The one pass that cuts texts into words; a line's end parts words, so lines' words are the text's."""
+    known = F.array(*[F.lit(w) for w in sorted(vocabulary)]).cast("array<string>")
+    cut = F.transform(F.split("text", "\n"), words)
+    lines = F.transform(cut, lambda ws: F.struct(F.size(ws).alias("n"), F.array_intersect(known, ws).alias("held")))
+    places = phrase_places(F.col("text"), phrases) if phrases else F.array().cast("array<struct<at:int,label:string>>")
+    return written(docs.select("doc_id", F.xxhash64("text").alias("h"), places.alias("places"), lines.alias("lines")), "held")
+
+
+def frequencies(held: DataFrame) -> DataFrame:
     """(word, n): in how many documents each word of the vocabulary stands; summed before the shuffle."""
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    return docs.select(F.explode(F.array_intersect(words(F.col("text")), known)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    every = F.array_distinct(F.flatten(F.col("lines.held")))
+    return held.select(F.explode(every).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
 
+def vocabulary_of(templates: Sequence[tuple[str, str]]) -> list[str]:
+    return sorted({w for _, t in templates for w in template_words(t)})
 
-def word_order(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> list[str]:
+
+def word_order(held: DataFrame, templates: Sequence[tuple[str, str]]) -> list[str]:
     """The templates' words, rarest in docs first; collects one count per word of the templates."""
-    vocabulary = sorted({w for _, t in templates for w in template_words(t)})
-    n = dict(frequencies(docs, vocabulary).collect()) if vocabulary else {}
+    vocabulary = vocabulary_of(templates)
+    n = dict(frequencies(held).collect()) if vocabulary else {}
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
@@ -109,7 +121,12 @@ def join_templates(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     docs: doc_id, text. Null texts have no blocks; equal rows give their matches once. A template without words is
     met by nothing.
     """
-    order = word_order(docs, templates)
+    return _joined(held_words(docs, vocabulary_of(templates)), templates, threshold)
+
+
+def _joined(held: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+    """join_templates of what held_words gives for the templates' vocabulary."""
+    order = word_order(held, templates)
     rank = {w: i for i, w in enumerate(order)}
     index = []
     for k, (label, text) in enumerate(templates):
@@ -117,13 +134,12 @@ def join_templates(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
         need = max(1, math.ceil(threshold * len(ws) - 1e-9))
         index += [(w, k, label, ws, i, need) for i, w in enumerate(ws[: len(ws) - need + 1])]
     least = min((x[-1] for x in index), default=1)
-    prefixes = docs.sparkSession.createDataFrame(index, "word string, template int, label string, words array<string>, i int, need int")
+    prefixes = held.sparkSession.createDataFrame(index, "word string, template int, label string, words array<string>, i int, need int")
     if sum(len(w.encode()) + 8 for x in index for w in x[3]) <= BROADCAST_BYTES:
         prefixes = F.broadcast(prefixes)
     known = F.array(*[F.lit(w) for w in order]).cast("array<string>")
-    blocks = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    blocks = blocks.select("doc_id", "h", "block", F.array_intersect(known, words(F.col("line"))).alias("held"))
-    blocks = blocks.where(F.size("held") >= least)
+    blocks = held.select("doc_id", "h", F.posexplode(F.col("lines.held")).alias("block", "some")).where(F.size("some") >= least)
+    blocks = blocks.select("doc_id", "h", "block", F.array_intersect(known, F.col("some")).alias("held"))
     firsts = blocks.select("*", F.posexplode(F.slice("held", F.lit(1), F.size("held") - (least - 1))).alias("j", "word"))
     pairs = firsts.join(prefixes, "word").where(1 + F.least(F.size("words") - F.col("i") - 1, F.size("held") - F.col("j") - 1) >= F.col("need"))
     common = F.size(F.array_intersect("held", "words"))
@@ -141,13 +157,15 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    met = join_templates(docs, templates, threshold)
+    held = held_words(docs, vocabulary_of(templates), phrases)
+    met = _joined(held, templates, threshold)
     rank = F.struct("containment", "size")
     blocks = met.groupBy("doc_id", "h", "block").agg(F.max(rank).alias("top"), F.collect_set(F.struct(rank.alias("rank"), "label")).alias("every"))
     best = F.transform(F.filter("every", lambda x: x["rank"] == F.col("top")), lambda x: x["label"])
     met = blocks.select("doc_id", "h", "top", F.explode(best).alias("label")).groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("top.containment").alias("best"))
     met = written(met.withColumnsRenamed({"doc_id": "_doc", "h": "_h"}), "licenses")
-    base = docs.select("doc_id", F.xxhash64("text").alias("h"), F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), phrase_places(F.col("text"), phrases).alias("places"))
+    n_words = F.aggregate("lines.n", F.lit(0).cast("long"), lambda a, n: a + n)
+    base = held.select("doc_id", "h", n_words.alias("n_words"), "places")
     rows = base.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")), "left")
     at = lambda f: f(F.transform("places", lambda p: p["at"])).cast("long")
     own = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
