@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocks as B
+from ..operators import layout as Y
 from ..operators import lines as L
 from ..operators import markdown as M
 from ..operators import merge as J
@@ -90,6 +91,26 @@ def zone_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.zones(B.classify(_blocks(spark, sf_dir)))
 
 
+def zone_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = Y.stacked(B.zones(B.classify(_blocks(spark, sf_dir))))
+    return placed.select("page", "zone", *[F.round(c, 6).alias(c) for c in ("x", "y", "w", "h", "share")])
+
+
+def visual_layout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Y.visual_metrics(Y.stacked(B.zones(B.classify(_blocks(spark, sf_dir)))))
+    return out.select("page", "warnings", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("page", "warnings")])
+
+
+def photo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On a page small enough for the derived blocks to be photos of it."""
+    return Y.photo_scores(_blocks(spark, sf_dir), 700.0, 700.0).withColumn("score", F.round("score", 9))
+
+
+def round_robin_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = P.document_lines(_docs(spark, sf_dir))
+    return Y.round_robin(lines.select("doc_id", (F.col("idx") + 1).alias("n"), "text"))
+
+
 def text_coverage_crop_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.text_coverage(_blocks(spark, sf_dir))
 

@@ -96,6 +96,19 @@ zs AS (SELECT page, {_case(ZONE_TYPES, "block_type", "NULL")} AS zone, min(x1) A
   WHERE block_type NOT IN ('masthead_logo', 'newspaper_name') OR y2 <= 0.16 * 1200 GROUP BY ALL),
 zones AS (SELECT p.page, zd.zone, coalesce(a / 1000.0, dx) AS x, coalesce(b / 1200.0, dy) AS y, coalesce((c - a) / 1000.0, dw) AS w, coalesce((d - b) / 1200.0, dh) AS h, a IS NOT NULL AS found
   FROM (SELECT DISTINCT page FROM blocks) p CROSS JOIN zd LEFT JOIN zs ON zs.page = p.page AND zs.zone = zd.zone)"""
+#: Heights and shares by zone, tops one below the other, then all pressed into the usable page.
+STACKED = ZONED + """,
+zw AS (SELECT page, max(h) FILTER (zone = 'masthead') * 714 AS m0, max(h) FILTER (zone = 'meta') * 714 AS m1, max(h) FILTER (zone = 'headline') * 714 AS m2, max(h) FILTER (zone = 'hero') * 714 AS m3,
+  max(h) FILTER (zone = 'lower') * 714 AS m5, max(h) FILTER (zone = 'columns') * 714 AS m6, max(h) FILTER (zone = 'continuation') * 714 AS m7, max(y) FILTER (zone = 'columns') * 714 * 0.98 AS cy,
+  least(0.78, greatest(0.72, max(w) FILTER (zone = 'hero'))) AS wh, least(0.22, greatest(0.18, max(w) FILTER (zone = 'sidebar'))) AS ws, least(0.26, greatest(0.20, max(w) FILTER (zone = 'continuation'))) AS wc FROM zones GROUP BY page),
+zh AS (SELECT page, cy, greatest(67.83, m0) AS h0, greatest(15.708, m1) AS h1, greatest(64.26, m2) AS h2, greatest(199.92, m3) AS h3, 19.992::DOUBLE AS h4, greatest(22.848, m5) AS h5, greatest(71.4, m6) AS h6, greatest(19.992, m7) AS h7,
+  wh / greatest(1.0, wh + ws + 0.012) AS wh, ws / greatest(1.0, wh + ws + 0.012) AS ws, wc FROM zw),
+zt AS (SELECT *, 12.495::DOUBLE AS y0, y0 + h0 + 0.9639 AS y1, y1 + h1 + 0.9639 AS y2, y2 + h2 + 5.7834 AS y3, y3 + h3 + 1.2852 AS y4, y4 + h4 + 4.8195 AS y5, greatest(y5 + h5 + 3.213, cy) AS y6, y6 + h6 - h7 AS y7 FROM zh),
+zp AS (SELECT *, least(1.0, 689.01 / greatest(y6 + h6, y5 + h5)) AS p FROM zt),
+placed AS (SELECT page, u.zone, u.x, 10.4125 + (u.y - 10.4125) * p AS y, u.share * 553.35 AS w, u.h * p AS h, u.share FROM (SELECT page, p, unnest([
+  {'zone': 'masthead', 'x': 20.825::DOUBLE, 'y': y0, 'h': h0, 'share': 1.0::DOUBLE}, {'zone': 'meta', 'x': 20.825, 'y': y1, 'h': h1, 'share': 1.0}, {'zone': 'headline', 'x': 20.825, 'y': y2, 'h': h2, 'share': 1.0},
+  {'zone': 'hero', 'x': 20.825, 'y': y3, 'h': h3, 'share': wh}, {'zone': 'sidebar', 'x': 20.825 + (wh + 0.012) * 553.35, 'y': y3, 'h': h3, 'share': ws}, {'zone': 'caption', 'x': 20.825, 'y': y4, 'h': h4, 'share': wh},
+  {'zone': 'lower', 'x': 20.825, 'y': y5, 'h': h5, 'share': 1.0}, {'zone': 'columns', 'x': 20.825, 'y': y6, 'h': h6, 'share': 0.78}, {'zone': 'continuation', 'x': 574.175 - wc * 553.35, 'y': y7, 'h': h7, 'share': wc}]) AS u FROM zp))"""
 SPLIT = BLOCKS + """,
 ext AS (SELECT *, max(x2) OVER (PARTITION BY page) - min(x1) OVER (PARTITION BY page) AS extent FROM blocks),
 nar AS (SELECT page, pos, extent, (x1 + x2) / 2 AS c FROM ext WHERE x2 - x1 < 0.62 * extent),
@@ -166,6 +179,17 @@ SELECT doc_id, concat_ws(chr(10) || chr(10), '# ' || trim(title), body, dateline
         "reading_order": f"WITH {ORDERED} SELECT page, pos, reading_order FROM ordered",
         "photo_candidate": f"WITH {BLOCKS}, k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (x2 - x1) * (y2 - y1) DESC, pos) AS k FROM blocks WHERE label = 'image' AND (x2 - x1) * (y2 - y1) BETWEEN 20000 AND 550000) SELECT page, pos, x1::INT AS x, y1::INT AS y, (x2 - x1)::INT AS width, (y2 - y1)::INT AS height FROM k WHERE k = 1",
         "zone_union": f"WITH {ZONED} SELECT * FROM zones",
+        "zone_stacking": f"WITH {STACKED} SELECT page, zone, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, round(share, 6) AS share FROM placed",
+        "visual_layout_metrics": f"""WITH {STACKED}, g AS (SELECT page, max(y) FILTER (zone = 'hero') AS ph, max(y + h) FILTER (zone = 'hero') AS bh, max(y + h) FILTER (zone = 'headline') AS be, max(y) FILTER (zone = 'caption') AS pc, max(y + h) FILTER (zone = 'caption') AS bc,
+  max(y) FILTER (zone = 'lower') AS pl, max(y + h) FILTER (zone = 'lower') AS bl, max(y) FILTER (zone = 'columns') AS pk, max(y + h) AS used, max(share) FILTER (zone = 'hero') AS hero_width, max(share) FILTER (zone = 'sidebar') AS sidebar_width FROM placed GROUP BY page),
+v AS (SELECT page, (ph - be) / 714 AS headline_hero, (pc - bh) / 714 AS hero_caption, (pl - bc) / 714 AS caption_lower, (pk - bl) / 714 AS lower_columns, greatest(0, 672.35 - (used - 20.825)) / 672.35 AS whitespace, hero_width, sidebar_width FROM g)
+SELECT page, concat_ws(',', CASE WHEN headline_hero > 0.045 THEN 'headline_to_hero_gap_too_large' END, CASE WHEN hero_caption > 0.022 THEN 'hero_to_caption_gap_too_large' END, CASE WHEN caption_lower > 0.035 THEN 'caption_to_lower_headline_gap_too_large' END,
+  CASE WHEN lower_columns > 0.025 THEN 'lower_headline_to_columns_gap_too_large' END, CASE WHEN whitespace > 0.15 THEN 'total_vertical_whitespace_too_high' END, CASE WHEN hero_width < 0.70 THEN 'hero_image_too_narrow' END, CASE WHEN sidebar_width < 0.18 THEN 'sidebar_too_narrow' END) AS warnings,
+  round(headline_hero, 6) AS headline_hero, round(hero_caption, 6) AS hero_caption, round(caption_lower, 6) AS caption_lower, round(lower_columns, 6) AS lower_columns, round(whitespace, 6) AS whitespace, round(hero_width, 6) AS hero_width, round(sidebar_width, 6) AS sidebar_width FROM v""",
+        "photo_scores": f"""WITH {BLOCKS}, a AS (SELECT *, (x2 - x1) * (y2 - y1) / 490000 AS s, (x2 - x1) / greatest(1, y2 - y1) AS r, (x1 <= 8)::INT + (y1 <= 8)::INT + (x2 >= 692)::INT + (y2 >= 692)::INT AS sides FROM blocks WHERE label = 'image'),
+p AS (SELECT page, pos, s + CASE WHEN r BETWEEN 0.55 AND 1.8 THEN 0.08 ELSE 0 END + CASE WHEN s BETWEEN 0.10 AND 0.30 THEN 0.10 ELSE 0 END + CASE WHEN x1 < 385 THEN 0.03 ELSE 0 END AS score FROM a WHERE s BETWEEN 0.04 AND 0.55 AND r BETWEEN 0.35 AND 2.8 AND sides < 3)
+SELECT page, pos, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY round(score, 12) DESC, pos) AS k FROM p) WHERE k = 1""",
+        "round_robin_columns": f"WITH {LINES} SELECT doc_id, (idx % 5)::INT AS \"column\", string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text FROM lines GROUP BY ALL",
         "text_coverage_crop_policy": f"WITH {BLOCKS}, c AS (SELECT a.page, a.pos, least(1.0, coalesce(sum(CASE WHEN b.page IS NOT NULL THEN {cover} END), 0) / any_value((a.x2 - a.x1) * (a.y2 - a.y1))) AS coverage FROM blocks a LEFT JOIN blocks b ON a.page = b.page AND b.label <> 'image' AND trim(coalesce(b.text, '')) <> '' WHERE a.label = 'image' GROUP BY a.page, a.pos) SELECT *, coverage <= 0.15 AS can_crop FROM c",
         "bbox_pdf_coords": f"WITH {BLOCKS} SELECT page, pos, round(x1 * 0.595, 6) AS px1, round(714.0 - y2 * 0.595, 6) AS py1, round(x2 * 0.595, 6) AS px2, round(714.0 - y1 * 0.595, 6) AS py2 FROM blocks",
         "caption_candidates_topk": f"""WITH {BLOCKS}, hero AS (SELECT page, x1 AS hx1, x2 AS hx2, y2 AS hy2 FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (x2 - x1) * (y2 - y1) DESC, pos) AS k FROM blocks WHERE label = 'image') WHERE k = 1),

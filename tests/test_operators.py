@@ -7,6 +7,7 @@ from quillgrid.functions import fuzzy
 from quillgrid.functions import geometry as G
 from quillgrid.functions import text as T
 from quillgrid.operators import blocks as B
+from quillgrid.operators import layout as Y
 from quillgrid.operators import lines as L
 from quillgrid.operators import markdown as M
 from quillgrid.operators import merge as J
@@ -129,3 +130,46 @@ def test_file_drop_stream(spark, tmp_path):
     q = file_drop.markdown_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).first()["markdown"] == "# A title for it\n\nbody\n"
+
+
+def zone_rows(spark, **given):
+    return spark.createDataFrame([(1, z, *map(float, given.get(z, b))) for z, b in B.ZONES.items()], "page long, zone string, x double, y double, w double, h double")
+
+
+def test_stacked_zones_follow_each_other_within_the_page(spark):
+    got = {r["zone"]: r for r in Y.stacked(zone_rows(spark)).collect()}
+    order = [z for z, _, _ in Y.STACK]
+    for a, b in zip(order, order[1:], strict=False):
+        assert got[a]["y"] + got[a]["h"] <= got[b]["y"] + 1e-9
+    assert got["sidebar"]["y"] == got["hero"]["y"] and got["sidebar"]["x"] > got["hero"]["x"] + got["hero"]["w"]
+    foot = got["columns"]["y"] + got["columns"]["h"]
+    assert got["continuation"]["y"] + got["continuation"]["h"] == pytest.approx(foot) and foot <= 714 * 0.965 + 1e-6
+    assert got["hero"]["share"] == 0.72 and got["sidebar"]["share"] == 0.22
+
+
+def test_tall_zones_are_pressed_into_the_page(spark):
+    got = {r["zone"]: r for r in Y.stacked(zone_rows(spark, hero=(0, 0.3, 0.9, 0.9), columns=(0, 0.9, 0.7, 0.3))).collect()}
+    margin, y = 595 * 0.035, 0.0
+    heights = {"masthead": 0.11, "meta": 0.035, "headline": 0.14, "hero": 0.9, "caption": 0.028, "lower": 0.05, "columns": 0.3}
+    for zone, _, gap in Y.STACK:
+        y += 714 * (heights[zone] + gap * 0.45)
+    press = 714 * 0.965 / (y + margin * 0.6)
+    assert got["columns"]["y"] + got["columns"]["h"] == pytest.approx(margin / 2 + (y + margin * 0.1) * press)
+    assert got["hero"]["h"] == pytest.approx(0.9 * 714 * press)
+    assert got["hero"]["share"] + got["sidebar"]["share"] + 0.012 == pytest.approx(1 + 0.012 * (1 - 1 / 1.012), abs=1e-9)
+
+
+def test_visual_warnings(spark):
+    placed = Y.stacked(zone_rows(spark))
+    assert Y.visual_metrics(placed).first()["warnings"] == ""
+    apart = placed.withColumn("y", F.when(F.col("zone") == "hero", F.col("y") + 60).otherwise(F.col("y")))
+    assert Y.visual_metrics(apart).first()["warnings"].startswith("headline_to_hero_gap_too_large")
+    assert Y.visual_metrics(placed.where("false")).count() == 0
+
+
+def test_round_robin_and_photo(spark):
+    pars = spark.createDataFrame([(1, n, f"p{n}") for n in range(1, 8)], "doc_id long, n int, text string")
+    assert {r["column"]: r["text"] for r in Y.round_robin(pars).collect()} == {0: "p1\n\np6", 1: "p2\n\np7", 2: "p3", 3: "p4", 4: "p5"}
+    rows = [(1, 1, "image", "", 100.0, 100.0, 500.0, 500.0), (1, 2, "image", "", 100.0, 100.0, 500.0, 500.0), (1, 3, "image", "", 0.0, 0.0, 1000.0, 500.0), (1, 4, "text", "", 0.0, 0.0, 400.0, 400.0)]
+    df = spark.createDataFrame(rows, "page long, pos int, label string, text string, x1 double, y1 double, x2 double, y2 double")
+    assert [(r["pos"], round(r["score"], 6)) for r in Y.photo_scores(df).collect()] == [(1, round(160000 / 1200000 + 0.08 + 0.10 + 0.03, 6))]
