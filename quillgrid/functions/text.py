@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -104,11 +105,23 @@ def corrected(t: Column, table: Sequence[tuple[str, str]]) -> Column:
     return t
 
 
+def composed(t: Column) -> Column:
+    """NFC. Below U+0300 nothing composes, so texts without higher characters never reach Python."""
+
+    @F.pandas_udf("string")
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    high = t.rlike(r"[^\x00-\x{2FF}]")
+    return F.when(high, compose(F.when(high, t))).otherwise(t)
+
+
 def cleaned(t: Column) -> Column:
-    """Soft hyphens, control characters and U+FFFD dropped; words broken by hyphen and line end joined, in up to four
+    """Soft hyphens, control characters and U+FFFD dropped; letters composed (NFC); words broken by hyphen and line end joined, in up to four
     rounds; an unclosed parenthesis around a line's price closed. Blank texts are left alone."""
     s = F.replace(t, F.lit("­"), F.lit(""))
     s = F.regexp_replace(s, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]", "")
+    s = composed(s)
     for _ in range(4):
         s = F.regexp_replace(s, r"(\p{Ll})-[ \t]*\n[ \t]*(\p{Ll})", "$1$2")
     s = F.regexp_replace(s, r"(?m)\(([0-9]+[.,][0-9]{2}) ?(mk|€|\$)$", "($1 $2)")

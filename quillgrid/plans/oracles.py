@@ -157,7 +157,7 @@ SELECT doc_id, concat_ws(chr(10) || chr(10), '# ' || trim(title), body, dateline
     fold = "translate({}, 'äö', 'ao')".format(_FINGER.format("text"))
     norm = "trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
     noise = "regexp_replace(text, ' (the|de|la) ', '-' || chr(10) || '\\1 ', 'g') || chr(173) || chr(1) || '(3,50 mk'"
-    clean = "regexp_replace(replace(t, chr(173), ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{FFFD}]', '', 'g')"
+    clean = "nfc_normalize(regexp_replace(replace(t, chr(173), ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{FFFD}]', '', 'g'))"
     for _ in range(4):
         clean = f"regexp_replace({clean}, '(\\p{{Ll}})-[ \\t]*\\n[ \\t]*(\\p{{Ll}})', '\\1\\2', 'g')"
     clean = f"regexp_replace({clean}, '(?m)\\(([0-9]+[.,][0-9]{{2}}) ?(mk|€|\\$)$', '(\\1 \\2)', 'g')"

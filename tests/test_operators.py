@@ -96,6 +96,8 @@ def test_fuzzy_duplicates_keep_the_better(spark):
 def test_mojibake_and_cleanup(spark):
     assert one(spark, T.repair_mojibake(F.lit("pÃ¤ivÃ¤"))) == "päivä"
     assert one(spark, T.repair_mojibake(F.lit("a – b"))) == "a – b"
+    assert one(spark, T.cleaned(F.lit("pa\u0308iva\u0308-\nnä Å"))) == "päivänä Å"
+    assert one(spark, T.cleaned(F.lit(None).cast("string"))) is None and one(spark, T.cleaned(F.lit(" a\u0308"))) == "ä"
     assert one(spark, T.cleaned(F.lit("sano-\nma ­on (3,50 mk"))) == "sanoma on (3,50 mk)"
 
 
