@@ -89,6 +89,28 @@ def folded(t: Column) -> Column:
     return F.translate(fingerprint(t), "äö", "ao")
 
 
+def phrase_context(t: Column, phrase: str, window: int = 60) -> Column:
+    """The first place of a phrase, in any case, with up to window characters on both sides; empty without one."""
+    at = F.instr(F.lower(t), phrase.lower())
+    begin = F.greatest(F.lit(1), at - window)
+    return F.when(at > 0, strip(F.substring(t, begin, at + len(phrase) + window - begin))).when(t.isNotNull(), "")
+
+
+def wrapped(t: Column, most: int) -> Column:
+    """Lines of whole words, each as long as fits into most characters; a longer word has a line of its own."""
+    fold = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("current"))
+
+    def add(state: Column, word: Column) -> Column:
+        longer = F.concat(state["current"], F.lit(" "), word)
+        fits = F.coalesce(F.length(longer) <= most, F.lit(False))
+        full = state["current"].isNotNull() & ~fits
+        lines = F.when(full, F.concat(state["lines"], F.array(state["current"]))).otherwise(state["lines"])
+        return F.struct(lines.alias("lines"), F.when(fits, longer).otherwise(word).alias("current"))
+
+    words = F.filter(F.split(strip(t), r"\s+"), lambda w: w != "")
+    return F.aggregate(words, fold, add, lambda s: F.when(s["current"].isNull(), s["lines"]).otherwise(F.concat(s["lines"], F.array(s["current"]))))
+
+
 def occurrences(t: Column, phrase: str) -> Column:
     """Non-overlapping places of a phrase; 0 for an empty one."""
     if not phrase:

@@ -214,6 +214,14 @@ def final_text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.cleaned(F.col("t"))).alias("digest"), F.array_join(T.cleanup_issues(F.col("t")), ",").alias("issues"))
 
 
+def phrase_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.phrase_context(F.col("text"), "license").alias("context"))
+
+
+def wrap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.document_lines(_docs(spark, sf_dir)).select("doc_id", "idx", F.array_join(T.wrapped(F.col("text"), 40), "\n").alias("text"))
+
+
 def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" pÃ¤ivÃ¤Ã¤ – �"))).otherwise(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", T.repair_mojibake(t).alias("text"))

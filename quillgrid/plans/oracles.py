@@ -218,6 +218,8 @@ h AS (SELECT item_id, count(DISTINCT doc_id) AS n FROM g JOIN p USING (gram) WHE
 SELECT page, pos, first_value(pos) OVER (PARTITION BY page, norm ORDER BY q DESC, pos) AS kept_pos FROM n WHERE norm <> ''""",
         "correction_table_apply": f"SELECT doc_id, md5({_corrected()}) AS digest FROM documents",
         "final_text_cleanup": f"WITH d AS (SELECT doc_id, {noise} AS t FROM documents) SELECT doc_id, md5(trim({clean})) AS digest, array_to_string(list_filter([{found}], lambda x: x IS NOT NULL), ',') AS issues FROM d",
+        "phrase_context": """WITH a AS (SELECT doc_id, text, strpos(lower(text), 'license') AS i FROM documents)
+SELECT doc_id, CASE WHEN i > 0 THEN regexp_replace(substring(text, greatest(1, i - 60), i + 67 - greatest(1, i - 60)), '^\\s+|\\s+$', '', 'g') ELSE '' END AS context FROM a""",
         "markdown_elements": f"""WITH {ocr}, s AS (SELECT doc_id, idx, trim(line) AS s FROM dl),
 k AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN regexp_matches(s, '^(---+|\\*\\*\\*+)$') THEN 'hr' WHEN s LIKE '## %' THEN 'h2' WHEN s LIKE '# %' THEN 'h1' WHEN s LIKE '> %' THEN 'quote' ELSE 'p' END AS kind FROM s),
 b AS (SELECT *, (kind <> 'blank' AND (kind IN ('hr', 'h1', 'h2') OR kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY idx), 'blank')))::INT AS st FROM k), g AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM b)

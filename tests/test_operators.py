@@ -175,3 +175,22 @@ def test_round_robin_and_photo(spark):
     rows = [(1, 1, "image", "", 100.0, 100.0, 500.0, 500.0), (1, 2, "image", "", 100.0, 100.0, 500.0, 500.0), (1, 3, "image", "", 0.0, 0.0, 1000.0, 500.0), (1, 4, "text", "", 0.0, 0.0, 400.0, 400.0)]
     df = spark.createDataFrame(rows, "page long, pos int, label string, text string, x1 double, y1 double, x2 double, y2 double")
     assert [(r["pos"], round(r["score"], 6)) for r in Y.photo_scores(df).collect()] == [(1, round(160000 / 1200000 + 0.08 + 0.10 + 0.03, 6))]
+
+
+def test_wrapped_equals_brute_force(spark):
+    rng = random.Random(3)
+    texts = ["", " \n ", "a" * 30] + [" ".join("x" * rng.randint(1, 9) for _ in range(rng.randint(1, 30))) for _ in range(20)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.wrapped(F.col("t"), 12).alias("v")).collect()
+    for r in got:
+        want = []
+        for w in texts[r["i"]].split():
+            if want and len(want[-1]) + 1 + len(w) <= 12:
+                want[-1] += " " + w
+            else:
+                want.append(w)
+        assert r["v"] == want
+
+
+def test_phrase_context(spark):
+    assert one(spark, T.phrase_context(F.lit("one two THREE four five"), "three", 4)) == "two THREE fou"
+    assert one(spark, T.phrase_context(F.lit("one"), "three")) == "" and one(spark, T.phrase_context(F.lit(None).cast("string"), "x")) is None
