@@ -7,15 +7,16 @@ over the bits not yet used), up to three levels; the last level's shards can't e
 BK-tree is built and searched in the task that reads it: a cluster-wide broadcast of all trees would grow with the
 corpus. Copies never meet in a shard, as only distinct fingerprints enter one.
 
-For a similarity instead of two bits (similar_documents), fingerprints have 512 bits, and shards hold what agrees on
-some bits at random places. How many bits and how many such tables follows from the number of fingerprints and the
-recall asked for at the least similarity, so shards stay small and recall stays put at any size.
+For a similarity instead of two bits, similar_documents joins sets of shingles exactly (shingle_join). similar_links
+links fingerprints of 512 bits within a radius: shards hold what agrees on some bits at random places, and how many bits
+and how many such tables follows from the number of fingerprints and the recall asked for at the least similarity.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import connected_components
+from .shingle_join import features, similar_pairs
 
 RADIUS = 2
 #: Above any doc_id: nodes of fingerprints whose documents all lack a doc_id.
@@ -304,32 +306,26 @@ def similar_links(nodes: DataFrame, similarity: float, recall: float, shard_rows
     return links
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h, component) of every row: h is its text's xxhash64, component the least node of its class.
 
-    Texts are linked if their SimHashes over the sets of width-word shingles differ in no more bits than sets of the
-    least similarity are expected to, and a little over one standard deviation; every such link is found with the
-    recall asked for, at the least similarity (higher above it). Null and wordless texts are one class.
+    Texts are linked if the Jaccard similarity of their sets of width-word shingles is at least similarity; every such
+    link counts (shingle_join). Null and wordless texts are one class.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [wide_bits(shingle_hashes(t.as_py(), width)) for t in b.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], names=["doc_id", "h", "fp"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    fps = written(rows.mapInArrow(run, "doc_id long, h long, fp binary"), "wide")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    hashes = partial(shingle_hashes, width=width)
+    rows = written(features(texts, hashes, similarity), "features")
     # a class of texts without any doc_id gets a node from its least hash
-    nodes = fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.min("h"), 2) + F.lit(NO_ID)).alias("node"))
-    nodes = written(nodes, "nodes")
-    found = connected_components(similar_links(nodes, similarity, recall))
-    classes = written(nodes.join(found.withColumnRenamed("component", "c"), "node", "left").select("fp", F.coalesce("c", "node").alias("component")), "classes")
-    return fps.join(classes, "fp").select("doc_id", "h", "component")
+    node = F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.min("h"), 2) + F.lit(NO_ID)).alias("node")
+    nodes = written(rows.groupBy("key").agg(node, F.min("h").alias("h"), *[F.first(c).alias(c) for c in ("size", "bits", "prefix")]), "nodes")
+    found = connected_components(similar_pairs(nodes, texts, hashes, similarity))
+    classes = nodes.join(found.withColumnRenamed("component", "c"), "node", "left").select("key", F.coalesce("c", "node").alias("component"))
+    return rows.select("doc_id", "h", "key").join(written(classes, "classes"), "key").select("doc_id", "h", "component")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs' rows, all columns, of which one stays for each class of near-duplicates: that of the least doc_id."""
-    classes = similar_documents(docs, width, similarity, recall)
+    classes = similar_documents(docs, width, similarity)
     stays = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s"))
     stays = stays.select(F.col("s.doc_id").alias("_doc"), F.col("s.h").alias("_h"))
     h = F.xxhash64("text")

@@ -181,6 +181,59 @@ def test_salted_shards_keep_groups_together(spark):
     assert set(dict(components.connected_components(links).collect()).values()) == {0}
 
 
+def jaccard_classes(texts, similarity=0.8):
+    def shingles(t):
+        ws = t.lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or ({tuple(ws)} if ws else set())
+
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= similarity * len(a | b) - 1e-9:
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(texts))]
+
+
+def test_similar_documents_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = ["", "one", "one two"]
+    for n in [*range(5, 16), 20, 40, 50, 90, 300]:
+        for _ in range(6):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            texts.append(" ".join(words))
+            for more in range(1, max(2, n // 4)) if n < 100 else (60, 70, 74, 75, 90):  # words at the end: similarity from 1 down past 0.8
+                texts.append(" ".join([*words, *(f"e{rng.randrange(10**6)}" for _ in range(more))]))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    want = jaccard_classes(texts)
+    assert 50 < len(set(want)) < len(texts)
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_star_of_copies_is_one_class(spark):
+    rng = random.Random(12)
+    centre = [f"c{i}" for i in range(204)]
+    texts = []
+    for _ in range(60):  # 20 of 200 shingles changed: 0.818 to the centre, 0.7 or less to most others
+        at = sorted(rng.sample(range(4, 200, 8), 4))
+        texts.append(" ".join(f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(centre)))
+    texts.insert(47, " ".join(centre))
+    want = jaccard_classes(texts)
+    assert set(want) == {0} and len(set(jaccard_classes(texts[:47] + texts[48:]))) > 20
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["component"] for r in got} == {0}
+
+
 # --- op4
 
 def test_url_rules_and_aliases(spark):
