@@ -251,59 +251,42 @@ def _dealt(bits: int, tables: int):
 
 
 def _grouped(radius: int):
-    """Links within each run of (shard, salt); of salted runs also one survivor of each group, for another round."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    """Links within each run of (shard, salt)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
 
-        def found() -> Iterator[pa.RecordBatch]:
-            rows = [(u, v, None, None) for u, v in shard_links([(int.from_bytes(fp, "little"), n) for fp, n in members], radius)]
-            if key[1] >= 0:
-                joined = {u for u, *_ in rows}
-                rows += [(n, None, key[0], fp) for fp, n in members if n not in joined]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["u", "v", "shard", "fp"])
+        def found() -> pa.RecordBatch:
+            u, v = zip(*x, strict=True) if (x := shard_links(members, radius)) else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for b in batches:
             for shard, salt, fp, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (shard, salt) != key:
-                    if members and (len(members) > 1 or key[1] >= 0):
-                        yield from found()
+                    if len(members) > 1:
+                        yield found()
                     key, members = (shard, salt), []
-                members.append((fp, n))
-        if members and (len(members) > 1 or key[1] >= 0):
-            yield from found()
+                members.append((int.from_bytes(fp, "little"), n))
+        if len(members) > 1:
+            yield found()
 
     return run
 
 
 def similar_links(nodes: DataFrame, similarity: float, recall: float, shard_rows: int = 512) -> DataFrame:
     """(u, v) between nodes (fp: WIDE bits, node): links of at least the similarity, and few enough of them to connect
-    what they connect. A shard of over shard_rows is salted into parts; one survivor of each group found in a part goes
-    to the next round, until the shard fits or no longer shrinks."""
+    what they connect. A shard of over shard_rows is salted into parts, and every two parts are compared."""
     share = unlike_share(similarity)
     radius = round(WIDE * (share + 1.3 * math.sqrt(share * (1 - share) / WIDE)))
     left = nodes.mapInArrow(_dealt(*plan_tables(nodes.count(), similarity, recall)), "shard long, fp binary, node long")
-    out, before, salting = [], None, True
-    while True:
-        sizes = left.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
-        sizes = written(sizes.select(F.col("shard").alias("large"), "n"), "hot")
-        hot = sizes.agg(F.sum("n")).first()[0] if salting else None
-        salting = bool(hot) and (before is None or hot < 0.7 * before)
-        parts = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / shard_rows))
-        salt = F.coalesce(parts, F.lit(-1)) if salting else F.lit(-1)
-        dealt = left.join(sizes, left["shard"] == sizes["large"], "left").withColumn("salt", salt.cast("long"))
-        found = dealt.select("shard", "salt", "fp", "node").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node")
-        found = written(found.mapInArrow(_grouped(radius), "u long, v long, shard long, fp binary"), "similar")
-        out.append(found.where("v is not null").select("u", "v"))
-        if not salting:
-            break
-        left, before = found.where("v is null").select("shard", "fp", F.col("u").alias("node")), hot
-    links = out[0]
-    for more in out[1:]:
-        links = links.union(more)
-    return links
+    sizes = left.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
+    sizes = written(sizes.select(F.col("shard").alias("large"), F.ceil(F.col("n") / shard_rows).alias("parts")), "hot")
+    dealt = left.join(sizes, left["shard"] == sizes["large"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("node"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    dealt = dealt.select("shard", "fp", "node", own.alias("own"), other.alias("other"))
+    dealt = dealt.withColumn("salt", F.least("own", "other") * (1 << 31) + F.greatest("own", "other"))
+    found = dealt.select("shard", "salt", "fp", "node").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node")
+    return written(found.mapInArrow(_grouped(radius), "u long, v long"), "similar")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

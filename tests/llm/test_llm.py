@@ -181,6 +181,17 @@ def test_salted_shards_keep_groups_together(spark):
     assert set(dict(components.connected_components(links).collect()).values()) == {0}
 
 
+def test_hot_shards_keep_a_star_together(spark):
+    rng = random.Random(5)
+    centre = rng.getrandbits(512)
+    flip = lambda: sum(1 << b for b in rng.sample(range(20, 512), 70))
+    fps = [centre ^ flip() for _ in range(80)]  # 70 bits from the centre, about 120 from one another: the radius is 88
+    fps.insert(60, centre)
+    nodes = spark.createDataFrame([(f.to_bytes(64, "little"), i) for i, f in enumerate(fps)], "fp binary, node long")
+    whole, hot = (dict(components.connected_components(simhash.similar_links(nodes, 0.8, 0.98, shard_rows=n)).collect()) for n in (10**6, 2))
+    assert hot == whole and len(whole) > 40
+
+
 def jaccard_classes(texts, similarity=0.8):
     def shingles(t):
         ws = t.lower().split()
