@@ -1,6 +1,6 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in SQL functions only.
 
-A block is a line of a text. It meets a template if it holds at least `threshold` of the template's distinct words.
+A block is a line of a text; for scan, a line with those after it that a notice wrapped from it can reach. It meets a template if it holds at least `threshold` of the template's distinct words.
 Words are ordered by how many documents hold them (rarest first, ties by code point), so that a template's prefix of
 size - overlap + 1 words must meet the block (prefix filter); blocks with too few template words are left out before
 (length filter), and a first common word too far along either side can't be followed by enough others (positional
@@ -92,7 +92,7 @@ def held_words(docs: DataFrame, vocabulary: Sequence[str], phrases: Sequence[tup
     The one pass that cuts texts into words; a line's end parts words, so lines' words are the text's."""
     known = F.array(*[F.lit(w) for w in sorted(vocabulary)]).cast("array<string>")
     cut = F.transform(F.split("text", "\n"), words)
-    lines = F.transform(cut, lambda ws: F.struct(F.size(ws).alias("n"), F.array_intersect(known, ws).alias("held")))
+    lines = F.transform(cut, lambda ws, i: F.struct(F.size(ws).alias("n"), F.array_intersect(known, ws).alias("held"), i.alias("last")))
     places = phrase_places(F.col("text"), phrases) if phrases else F.array().cast("array<struct<at:int,label:string>>")
     return written(docs.select("doc_id", F.xxhash64("text").alias("h"), places.alias("places"), lines.alias("lines")), "held")
 
@@ -121,11 +121,32 @@ def join_templates(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     docs: doc_id, text. Null texts have no blocks; equal rows give their matches once. A template without words is
     met by nothing.
     """
-    return _joined(held_words(docs, vocabulary_of(templates)), templates, threshold)
+    met = _joined(held_words(docs, vocabulary_of(templates)), templates, threshold)
+    return met.select("doc_id", "h", "block", "template", "label", "containment", "size").distinct()
+
+
+def _windows(held: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+    """held's rows that can meet a template, once each, with windows for lines: each line that has words, and those after
+    it within the longest template's length in words. Any run of that many words lies in the window of its first line."""
+    whole = F.struct(F.lit(0).alias("n"), F.array_distinct(F.flatten("lines.held")).alias("held"), F.lit(0).alias("last"))
+    some = _joined(held.select("doc_id", "h", F.array(whole).alias("lines")), templates, threshold).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).distinct()
+    rows = held.join(some, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "h"])
+    rows = rows.select("doc_id", "h", F.filter("lines", lambda x: x["n"] > 0).alias("lines"))
+    reach = max((len(re.findall("[0-9a-z]+", t.lower())) for _, t in templates), default=0)
+
+    def window(line: Column, i: Column) -> Column:
+        # every line that is left has a word, so `reach` of them are enough
+        after = F.slice(F.col("lines"), i + 2, F.lit(reach))
+        start = F.struct(F.lit(0).alias("n"), line["held"].alias("held"), i.alias("last"))
+        add = lambda a, x: F.when(a["n"] < reach, F.struct((a["n"] + x["n"]).alias("n"), F.array_union(a["held"], x["held"]).alias("held"), (a["last"] + 1).alias("last"))).otherwise(a)
+        return F.aggregate(after, start, add)
+
+    return written(rows.select("doc_id", "h", F.transform("lines", window).alias("lines")), "windows")
 
 
 def _joined(held: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """join_templates of what held_words gives for the templates' vocabulary."""
+    """join_templates of what held_words gives for the templates' vocabulary, with each block's last line and the words
+    of the template that it holds."""
     order = word_order(held, templates)
     rank = {w: i for i, w in enumerate(order)}
     index = []
@@ -138,31 +159,38 @@ def _joined(held: DataFrame, templates: Sequence[tuple[str, str]], threshold: fl
     if sum(len(w.encode()) + 8 for x in index for w in x[3]) <= BROADCAST_BYTES:
         prefixes = F.broadcast(prefixes)
     known = F.array(*[F.lit(w) for w in order]).cast("array<string>")
-    blocks = held.select("doc_id", "h", F.posexplode(F.col("lines.held")).alias("block", "some")).where(F.size("some") >= least)
-    blocks = blocks.select("doc_id", "h", "block", F.array_intersect(known, F.col("some")).alias("held"))
+    blocks = held.select("doc_id", "h", F.posexplode("lines").alias("block", "line")).where(F.size("line.held") >= least)
+    blocks = blocks.select("doc_id", "h", "block", "line.last", F.col("line.held").alias("some"))
+    blocks = blocks.select("doc_id", "h", "block", "last", F.array_intersect(known, F.col("some")).alias("held"))
     firsts = blocks.select("*", F.posexplode(F.slice("held", F.lit(1), F.size("held") - (least - 1))).alias("j", "word"))
     pairs = firsts.join(prefixes, "word").where(1 + F.least(F.size("words") - F.col("i") - 1, F.size("held") - F.col("j") - 1) >= F.col("need"))
-    common = F.size(F.array_intersect("held", "words"))
-    met = pairs.withColumn("common", common).where("common >= need").withColumn("containment", F.col("common") / F.size("words"))
-    return met.select("doc_id", "h", "block", "template", "label", "containment", F.size("words").alias("size")).distinct()
+    met = pairs.withColumn("matched", F.array_intersect("held", "words")).where(F.size("matched") >= F.col("need"))
+    containment = F.size("matched") / F.size("words")
+    return met.select("doc_id", "h", "block", "last", "template", "label", containment.alias("containment"), F.size("words").alias("size"), "matched").distinct()
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, n_words, the phrases' places (n_base, first_word, last_word), labels and score.
 
-    base_labels: labels of the phrases found; labels: those and, for each block that meets templates, that of the template
-    it holds most of (the larger one of equals); both distinct, sorted,
+    base_labels: labels of the phrases found; labels: those and, those of the templates that a block meets, but for one
+    whose words there are all among those of a better met template (of equals the larger) in the same lines; both distinct, sorted,
     comma-joined, empty where there are none. score: 1 if a phrase stands, else the best containment of a template
     that is met, else 0. Null texts count as empty; repeated rows come back as often as they came; an empty table
     gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     held = held_words(docs, vocabulary_of(templates), phrases)
-    met = _joined(held, templates, threshold)
-    rank = F.struct("containment", "size")
-    blocks = met.groupBy("doc_id", "h", "block").agg(F.max(rank).alias("top"), F.collect_set(F.struct(rank.alias("rank"), "label")).alias("every"))
-    best = F.transform(F.filter("every", lambda x: x["rank"] == F.col("top")), lambda x: x["label"])
-    met = blocks.select("doc_id", "h", "top", F.explode(best).alias("label")).groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("top.containment").alias("best"))
+    met = _joined(_windows(held, templates, threshold), templates, threshold)
+    met = met.groupBy("doc_id", "h").agg(F.collect_set(F.struct("block", "last", "label", "containment", "size", "matched")).alias("every"))
+
+    def outdone(x: Column, y: Column) -> Column:
+        better = F.struct(y["containment"], y["size"]) > F.struct(x["containment"], x["size"])
+        beside = (x["block"] <= y["last"]) & (y["block"] <= x["last"])
+        return better & beside & (F.size(F.array_except(x["matched"], y["matched"])) == 0)
+
+    stay = F.filter("every", lambda x: ~F.exists("every", lambda y: outdone(x, y)))
+    found = F.array_distinct(F.transform(stay, lambda x: x["label"])).alias("found")
+    met = met.select("doc_id", "h", found, F.array_max(F.transform("every", lambda x: x["containment"])).alias("best"))
     met = written(met.withColumnsRenamed({"doc_id": "_doc", "h": "_h"}), "licenses")
     n_words = F.aggregate("lines.n", F.lit(0).cast("long"), lambda a, n: a + n)
     base = held.select("doc_id", "h", n_words.alias("n_words"), "places")

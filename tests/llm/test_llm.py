@@ -408,6 +408,16 @@ def test_licenses(docs, empty, spark):
     assert got[1]["labels"] == "cc-by-nc,mit" and got[2]["base_labels"] == "mit"
 
 
+def test_wrapped_notices_are_met(spark):
+    notices = {k: [t for label, t in license_join.TEMPLATES if label == k][-1] for k in ("mit", "bsd", "apache", "gpl", "mpl")}
+    wrap = lambda t, n: "\n".join(" * " + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [(k, n, f"some text\n{wrap(t, n)}\n\nmore text here") for k, t in notices.items() for n in (1, 4, 10, 13)]
+    rows += [("bsd,mpl", 0, f"{notices['bsd']} {notices['mpl']}"), ("gpl,lgpl", 0, wrap(notices["gpl"], 9) + "\nunder the terms of the\nGNU Lesser General Public License")]
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_join.scan(df).collect()}
+    assert [(k, n, got[i]) for i, (k, n, _) in enumerate(rows)] == [(k, n, k) for k, n, _ in rows]
+
+
 def test_join_equals_brute_force(spark):
     rng = random.Random(8)
     templates = [(f"t{i}", " ".join(rng.sample(WORDS, rng.randint(1, 7)))) for i in range(8)]
