@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Paths made within temporary(), innermost last.
+_made: list[list[str]] = []
+
+
+#: Bytes of rows in a batch that goes to Python, where the session has Spark's own default (64 MB).
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Long texts make large batches, held by the executor and its Python worker at once: fewer bytes each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in (str(64 << 20), f"{64 << 20}b"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own if everything
+    runs on this machine, as in tests; else an error, as executors' own disks aren't shared."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -22,7 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else writes to."""
-    return f"{shared_dir(spark)}/quillgrid/{name}-{uuid.uuid4().hex}"
+    bounded_batches(spark)
+    path = f"{shared_dir(spark)}/quillgrid/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +60,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes paths through Spark's own file systems."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes on leaving whatever paths were made within, but for those taken off the list."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        deleted(spark, _made.pop())
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns as a written table; the other tables that make() wrote are deleted."""
+    with temporary(spark) as made:
+        out = written(make(), name)
+        path = made.pop()
+    if _made:
+        _made[-1].append(path)
+    return out
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of bounded bytes, in workers that give memory back: what Arrow and numpy
+    free goes to the system instead of being kept for later."""
+    bounded_batches(df.sparkSession)
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(frugal, schema)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and no other letter."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -54,12 +124,19 @@ class RangeBuckets:
             cuts = df.select(F.percentile_approx(key, [i / want for i in range(1, want)], 8 * want)).first()[0] if want > 1 else []
             self.starts = sorted({least, *cuts})
 
+    def _constant(self) -> Column:
+        return F.split(F.lit(",".join(map(str, self.starts))), ",").cast("array<bigint>")
+
+    def is_start(self, key: Column, bucket: Column) -> Column:
+        """Whether key, which lies in bucket, is the bucket's least."""
+        return F.coalesce(F.get(self._constant(), bucket) == key, F.lit(False)) if self.starts else F.lit(False)
+
     def bucket(self, key: Column) -> Column:
         """The index, from 0, of the range that holds key, by binary search in one constant array."""
         n = len(self.starts)
         if n < 2:
             return F.lit(0)
-        starts = F.split(F.lit(",".join(map(str, self.starts))), ",").cast("array<bigint>")
+        starts = self._constant()
 
         def halve(span: Column, _: Column) -> Column:
             low, high = span["low"], span["high"]

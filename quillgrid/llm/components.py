@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import settled, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -25,6 +25,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     aggregations and two joins over tables written to the shared folder; nothing is collected but a count and a
     checksum. Raises if it has not settled after most_rounds (rounds grow with the logarithm of a path's length).
     """
+    return settled(edges.sparkSession, "components", lambda: _components(edges, most_rounds))
+
+
+def _components(edges: DataFrame, most_rounds: int) -> DataFrame:
     edges = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(edges, "edges")
     before = _state(edges)
@@ -43,4 +47,4 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if before[0]:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
