@@ -3,13 +3,14 @@
 Texts become symbols of 12 bits: letters, lower-cased, and one symbol for every run of anything else. An n-gram is its
 symbols packed into a long (letters of far blocks share symbols: that is the hash). The highest order counts n-grams;
 a lower one counts how many different symbols precede them. Each language interpolates its orders with absolute
-discounts from its own counts of counts. For scoring, the languages' n-grams are merged into one sorted array an order
-with a row of log-probabilities, one for each language; an n-gram that none has seen backs off by its context's row.
-A text goes to the language of the lowest cross-entropy per symbol; it is rejected if that is above what nearly all
-training texts of that language have.
-
-Counts cover all training rows and are summed in the tasks before the shuffle. What reaches the driver is bounded: if
-there are over max_ngrams different ones, the rarest are left out by raising the least count.
+discounts from its own counts of counts. All of this is tables in Spark over every n-gram and every language of the
+training rows: nothing is left out, and nothing is collected but one row for each language.
+
+For scoring, an order's n-grams of all languages are one sorted array, with a run of (language, log-probability) for
+each; what a language hasn't seen backs off by its context's weight. A model of up to `send_bytes` is sent to the tasks;
+a larger one stays a table that the texts' distinct n-grams are joined with, which gives the same numbers. A text goes
+to the language of the lowest cross-entropy per symbol; it is rejected if that is above what nearly all texts of that
+language have which a second model, fitted without them, has scored.
 """
 
 from __future__ import annotations
@@ -22,16 +23,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import written
+from .common import mapped, written
 
 BITS = 12
 ORDER = 4
-MAX_NGRAMS = 1 << 20
-MAX_LANGUAGES = 200
-CALIBRATION_ROWS = 4000
+#: Up to this size the model is sent to every task; beyond it, scoring joins tables.
+SEND_BYTES = 256 << 20
+#: One in so many training texts, by hash, is kept from the second model, whose scores of them calibrate rejection.
+FOLDS = 8
 #: Nats above a language's mean that are always accepted; for short texts, more by this over the root of their symbols.
 SLACK, SHORT_TEXT = 1.0, 4.0
+SHARPNESS = 12.0
 BLOCK = 1 << 19
 _symbols: list[np.ndarray] = []
 
@@ -65,102 +69,130 @@ def ngrams(s: np.ndarray, order: int) -> np.ndarray:
 
 
 def _counted(order: int):
+    """(lang, fold, gram, n) of batches (lang, fold, text), summed in the task as far as memory stays bounded."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        held: dict[str, list[np.ndarray]] = {}
-        size: dict[str, int] = {}
-
-        def fold(lang: str) -> None:
-            keys, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            if lang in sums:
-                old_keys, old = sums[lang]
-                both = np.concatenate([old_keys, keys])
-                keys, at = np.unique(both, return_inverse=True)
-                n = np.bincount(at, np.concatenate([old, n]), len(keys)).astype(np.int64)
-            sums[lang] = keys, n
-            size[lang] = 0
-
-        def out(lang: str) -> pa.RecordBatch:
-            keys, n = sums.pop(lang)
-            return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int8))), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
+        held: dict[tuple, list[np.ndarray]] = {}
+        waiting = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, fold), grams in held.items():
+                keys, n = np.unique(np.concatenate(grams), return_counts=True)
+                none = pa.array(np.zeros(len(keys), np.int8))
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(none), pa.array([fold], pa.int32()).take(none), pa.array(keys), pa.array(n)], names=["lang", "fold", "gram", "n"])
+            held.clear()
 
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for lang, fold, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if len(s := symbols(text.as_py())):
-                    held.setdefault(lang, []).append(ngrams(s, order))
-                    size[lang] = size.get(lang, 0) + len(s)
-                    if size[lang] >= BLOCK:
-                        fold(lang)
-                        if len(sums[lang][0]) >= BLOCK:
-                            yield out(lang)
-        for lang in list(held):
-            fold(lang)
-        for lang in list(sums):
-            yield out(lang)
+                    held.setdefault((lang, fold), []).append(ngrams(s, order))
+                    waiting += len(s)
+                    if waiting >= 2 * BLOCK:
+                        yield from out()
+                        waiting = 0
+        yield from out()
 
     return run
 
 
+def _fitted(counts: DataFrame, order: int) -> DataFrame:
+    """(k, kind, gram, lang, log) of (lang, gram, n), n-grams of the highest order: kind 1 has log-probabilities of the
+    n-grams of order k, kind 0 the log weights with which their contexts back off. Aggregations and equi-joins."""
+    levels = [counts.select("lang", "gram", F.col("n").cast("double").alias("c"))]
+    for k in range(order - 1, 0, -1):
+        levels.append(levels[-1].groupBy("lang", F.col("gram").bitwiseAND((1 << BITS * k) - 1).alias("gram")).agg(F.count("*").cast("double").alias("c")))
+    out, lower = None, None
+    for k, level in enumerate(levels[::-1], 1):
+        some = F.sum((F.col("c") == 1).cast("double")), F.sum((F.col("c") == 2).cast("double"))
+        discount = F.coalesce(F.try_divide(some[0], some[0] + 2 * some[1]), F.lit(0.5))
+        discounts = level.groupBy("lang").agg(F.least(F.lit(0.95), F.greatest(F.lit(0.1), discount)).alias("d"))
+        level = level.join(discounts, "lang").withColumn("context", F.shiftright("gram", BITS))
+        contexts = level.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.first("d").alias("d"))
+        contexts = written(contexts.select("lang", "context", "total", (F.col("d") * F.col("kinds") / F.col("total")).alias("weight")), f"contexts{k}")
+        level = level.join(contexts, ["lang", "context"]).withColumn("own", F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total"))
+        if lower is None:
+            level = level.withColumn("p", F.col("own") + F.col("weight") / (1 << BITS))
+        else:
+            level = level.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(lower, ["lang", "suffix"])
+            level = level.withColumn("p", F.col("own") + F.col("weight") * F.col("below"))
+        level = written(level.select("lang", "gram", "p"), f"order{k}")
+        lower = level.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+        part = lambda t, kind, gram, value, k=k: t.select(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.col(gram).alias("gram"), "lang", F.log(value).cast("float").alias("log"))
+        both = part(level, 1, "gram", "p").union(part(contexts, 0, "context", "weight"))
+        out = both if out is None else out.union(both)
+    return out
+
+
+class Arrays:
+    """Sorted n-grams; for each a run of languages with a value."""
+
+    def __init__(self, grams: np.ndarray, langs: np.ndarray, values: np.ndarray):
+        at = np.lexsort((langs, grams))
+        self.langs, self.values = langs[at].astype(np.int32), values[at].astype(np.float32)
+        self.grams, starts = np.unique(grams[at], return_index=True)
+        self.ends = np.append(starts, len(at)).astype(np.int64)
+
+    def put(self, grams: np.ndarray, into: np.ndarray, add: bool) -> None:
+        """Sets, or adds, what the languages have for grams in the rows of into."""
+        if not len(self.grams):
+            return
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        row = np.flatnonzero(self.grams[at] == grams)
+        n = self.ends[at[row] + 1] - self.ends[at[row]]
+        rows = np.repeat(row, n)
+        i = np.repeat(self.ends[at[row]] - np.cumsum(n) + n, n) + np.arange(len(rows))
+        if add:
+            into[rows, self.langs[i]] += self.values[i]
+        else:
+            into[rows, self.langs[i]] = self.values[i]
+
+
 @dataclass
 class Model:
-    """langs; for each order from 1: sorted n-grams and their log-probabilities, sorted contexts and their log back-off
-    weights, a column for each language; unseen: the log-probability of a symbol that order 1 hasn't seen. worst: the
-    cross-entropy above which a language's text is rejected. sharpness: of the score."""
+    """langs; table: what _fitted gives with langs' places, or arrays: (k, kind) -> Arrays where it is small enough to
+    send. worst: the cross-entropy above which a language's text is rejected."""
 
     langs: list[str]
-    grams: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backoffs: list[np.ndarray]
-    unseen: np.ndarray
+    order: int
     worst: np.ndarray
-    sharpness: float = 12.0
+    arrays: dict[tuple[int, int], Arrays] | None = None
+    table: DataFrame | None = None
 
-    def look_up(self, grams: np.ndarray, order: int) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def logs(self, grams: np.ndarray) -> np.ndarray:
         """Log-probabilities, in each language, of each n-gram's last symbol after the others."""
-        if not order:
-            return np.repeat(self.unseen[None, :], len(grams), 0)
-        known, logs = self.grams[order - 1], self.logs[order - 1]
-        at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
-        hit = known[at] == grams if len(known) else np.zeros(len(grams), bool)
-        out = logs[at] if len(known) else np.empty((len(grams), len(self.langs)), np.float32)
-        if not hit.all():
-            out[~hit] = self.back_off(grams[~hit], order)
+        out = np.full((len(grams), len(self.langs)), -BITS * np.log(2), np.float32)
+        for k in range(1, self.order + 1):
+            part = grams & ((1 << BITS * k) - 1)
+            self.arrays[k, 0].put(part >> BITS, out, add=True)
+            self.arrays[k, 1].put(part, out, add=False)
         return out
 
-    def back_off(self, grams: np.ndarray, order: int) -> np.ndarray:
-        lower = self.look_up(grams & ((1 << BITS * (order - 1)) - 1), order - 1)
-        contexts, weights = self.contexts[order - 1], self.backoffs[order - 1]
-        if len(contexts):
-            context = grams >> BITS
-            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            lower = lower + np.where((contexts[at] == context)[:, None], weights[at], np.float32(0))
-        return lower
-
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per symbol of each text in each language; symbols by text (0 if it has no letter)."""
-        order = len(self.grams)
         sums, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        block, held = max(1 << 12, BLOCK // max(len(self.langs), 1)), 0
         part: list[tuple[int, np.ndarray]] = []
 
         def score() -> None:
             lengths = np.array([len(g) for _, g in part])
-            logs = self.look_up(np.concatenate([g for _, g in part]), order)
+            kinds, which = np.unique(np.concatenate([g for _, g in part]), return_inverse=True)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            np.add.at(sums, [i for i, _ in part], np.add.reduceat(logs, starts, axis=0, dtype=np.float64))
+            np.add.at(sums, [i for i, _ in part], np.add.reduceat(self.logs(kinds)[which], starts, axis=0, dtype=np.float64))
             part.clear()
 
-        held = 0
         for i, text in enumerate(texts):
             s = symbols(text or "")
             if not len(s):
                 continue
             n[i] = len(s)
-            grams = ngrams(s, order)
-            for at in range(0, len(grams), BLOCK):
-                part.append((i, grams[at : at + BLOCK]))
+            grams = ngrams(s, self.order)
+            for at in range(0, len(grams), block):
+                part.append((i, grams[at : at + block]))
                 held += len(part[-1][1])
-                if held >= BLOCK:
+                if held >= block:
                     score()
                     held = 0
         if part:
@@ -168,107 +200,118 @@ class Model:
         return -sums / np.maximum(n, 1)[:, None], n
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
-
-
-def fit(counts: list[tuple[str, np.ndarray, np.ndarray]], order: int = ORDER) -> Model:
-    """A model from (language, n-grams of the highest order, their counts)."""
-    langs = [lang for lang, _, _ in counts]
-    each = []  # by language, by order: n-grams, discounted probability; contexts, back-off
-    for _, grams, n in counts:
-        at = np.argsort(grams)
-        levels = [(grams[at], n[at].astype(np.float64))]
-        for k in range(order - 1, 0, -1):
-            levels.append(tuple(np.unique(levels[-1][0] & ((1 << BITS * k) - 1), return_counts=True)))
-        orders = []
-        for k, (g, c) in zip(range(1, order + 1), levels[::-1], strict=True):
-            c, d = c.astype(np.float64), _discount(c)
-            contexts, which = np.unique(g >> BITS, return_inverse=True)
-            total, kinds = np.bincount(which, c), np.bincount(which)
-            orders.append((g, np.maximum(c - d, 0) / total[which], contexts, d * kinds / total))
-        each.append(orders)
-    size = len(langs)
-    model = Model(langs, [], [], [], [], np.zeros(size, np.float32), np.full(size, np.inf))
-    model.unseen = np.array([np.log((o[0][3][0] if len(o[0][3]) else 1.0) / (1 << BITS)) for o in each], np.float32)
-    for k in range(1, order + 1):
-        contexts = np.unique(np.concatenate([o[k - 1][2] for o in each]))
-        weights = np.zeros((len(contexts), size), np.float32)
-        for i, o in enumerate(each):
-            weights[np.searchsorted(contexts, o[k - 1][2]), i] = np.log(o[k - 1][3])
-        if k == 1:
-            weights[:] = 0  # unseen already has order 1's weight
-        model.contexts.append(contexts)
-        model.backoffs.append(weights)
-        grams = np.unique(np.concatenate([o[k - 1][0] for o in each]))
-        model.grams.append(grams[:0])
-        model.logs.append(np.empty((0, size), np.float32))
-        logs = np.exp(model.back_off(grams, k).astype(np.float64))
-        for i, o in enumerate(each):
-            logs[np.searchsorted(grams, o[k - 1][0]), i] += o[k - 1][1]
-        model.grams[-1], model.logs[-1] = grams, np.log(logs).astype(np.float32)
+def _model(counts: DataFrame, langs: list[str], order: int, send_bytes: int) -> Model:
+    places = counts.sparkSession.createDataFrame(list(enumerate(langs)), "at int, lang string")
+    table = written(_fitted(counts, order).join(places, "lang").drop("lang"), "model")
+    model = Model(langs, order, np.full(len(langs), np.inf))
+    if 16 * table.count() > send_bytes:
+        model.table = table
+        return model
+    got = table.toArrow()
+    k, kind, gram, value, at = (got.column(c).to_numpy() for c in ("k", "kind", "gram", "log", "at"))
+    model.arrays = {(i, j): Arrays(gram[(k == i) & (kind == j)], at[(k == i) & (kind == j)], value[(k == i) & (kind == j)]) for i in range(1, order + 1) for j in (0, 1)}
     return model
 
 
-def judged(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Language (und without letters or languages), score, cross-entropy, accepted."""
-    if not model.langs:
-        none = np.zeros(len(texts))
-        return ["und"] * len(texts), none, none, none.astype(bool)
-    h, n = model.cross_entropies(texts)
-    best = h.argmin(axis=1)
-    lowest = h[np.arange(len(texts)), best]
-    shares = np.exp(-model.sharpness * (h - lowest[:, None]))
-    some = n > 0
-    score = np.where(some, 1 / shares.sum(axis=1), 0.0)
-    accepted = some & (lowest <= model.worst[best] + SHORT_TEXT / np.sqrt(np.maximum(n, 1)))
-    return [model.langs[i] if x else "und" for i, x in zip(best, some, strict=True)], score, np.where(some, lowest, 0.0), accepted
-
-
-def train(docs: DataFrame, training: Column, order: int = ORDER, max_ngrams: int = MAX_NGRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """A model of docs' rows with text and lang for which training holds; lang's MAX_LANGUAGES most frequent values.
-
-    max_ngrams bounds the n-grams sent to the driver. calibration_rows bounds the hashed sample of training rows whose
-    cross-entropies set each language's rejection: their mean plus six standard deviations (SLACK nats at least).
-    """
-    rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    grams = rows.select("lang", "text").mapInArrow(_counted(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams = written(grams, "ngrams")
-    by_count = dict(grams.groupBy(F.least("n", F.lit(10_000)).alias("c")).agg(F.count("*").alias("k")).collect())
-    least, left = 1, sum(by_count.values())
-    while left > max_ngrams and least < 10_000:
-        left -= by_count.get(least, 0)
-        least += 1
-    kept = grams.where(F.col("n") >= least)
-    langs = sorted(r[0] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
-    if not langs:
-        return Model([], [], [], [], [], np.zeros(0, np.float32), np.zeros(0))
-    table = kept.select("lang", "gram", "n").toArrow()
-    lang = np.array(table.column("lang").to_pylist(), object)
-    gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-    model = fit([(x, gram[lang == x], n[lang == x]) for x in langs if (lang == x).any()], order)
-    calibrate(model, rows, calibration_rows)
-    return model
+def _lists(rows: np.ndarray) -> pa.Array:
+    """An array of lists: the rows of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
-def calibrate(model: Model, rows: DataFrame, most: int) -> None:
-    total = rows.count()
-    share = min(1.0, most / max(total, 1))
-    sample = rows.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).select("lang", "text")
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def _measured(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+    """keep's columns of docs, n (symbols of text) and h: cross-entropies by model.langs. One pass without a shuffle if
+    the model is small enough to send."""
+    others = [c for c in keep if c != "text"]
+    if model.arrays is None:
+        return _measured_by_join(docs, model, others).select(*keep, "n", "h")
+    own = ["text"] if "text" in keep else []
+    schema = StructType([*docs.select(*others, *own).schema.fields, *StructType.fromDDL("n long, h array<double>").fields])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = {x: i for i, x in enumerate(sent.value.langs)}
-            h, n = sent.value.cross_entropies(b.column(1).to_pylist())
-            langs = b.column(0).to_pylist()
-            at = [i for i, x in enumerate(langs) if x in own and n[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in at], pa.string()), pa.array([float(h[i, own[langs[i]]]) for i in at], pa.float64())], names=["lang", "h"])
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                h, n = sent.value.cross_entropies(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *part.columns[: len(own)], pa.array(n, pa.int64()), _lists(h)], names=[*others, *own, "n", "h"])
 
-    stats = sample.mapInArrow(run, "lang string, h double").groupBy("lang").agg(F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd")).collect()
-    for r in stats:
-        model.worst[model.langs.index(r["lang"])] = r["mean"] + max(6 * r["sd"], SLACK)
+    return mapped(docs.select("text", *others), run, schema).select(*keep, "n", "h")
+
+
+def _measured_by_join(docs: DataFrame, model: Model, others: list[str]) -> DataFrame:
+    """The same for a model that is too large to send: the distinct n-grams of docs are joined with the model's tables."""
+    order, langs = model.order, len(model.langs)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = symbols(text.as_py() or "")
+                if len(s):
+                    grams, n = np.unique(ngrams(s, order), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), row)), pa.array(grams), pa.array(n)], names=["row", "gram", "n"])
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.full((b.num_rows, langs), -BITS * np.log(2), np.float32)
+            for c in range(1, b.num_columns):
+                some = b.column(c)
+                rows = np.repeat(np.arange(b.num_rows), np.array([len(x) if x.is_valid else 0 for x in some], np.int64))
+                flat = some.flatten()
+                at, value = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+                if c % 2:  # weights of contexts, then probabilities, from order 1 up
+                    out[rows, at] += value
+                else:
+                    out[rows, at] = value
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(out)], names=["gram", "logs"])
+
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "text", *others), "rows")
+    grams = written(mapped(rows.select("row", "text"), cut, "row long, gram long, n long"), "text_ngrams")
+    known = grams.select("gram").distinct()
+    for k in range(1, order + 1):
+        for kind in (0, 1):
+            part = model.table.where((F.col("k") == k) & (F.col("kind") == kind)).groupBy(F.col("gram").alias("_g")).agg(F.collect_list(F.struct("at", "log")).alias(f"v{k}{kind}"))
+            gram = F.col("gram").bitwiseAND((1 << BITS * k) - 1)
+            known = known.join(part, (gram if kind else F.shiftright(gram, BITS)) == F.col("_g"), "left").drop("_g")
+    logs = mapped(known, dense, "gram long, logs array<float>")
+    each = [F.sum(F.col("n") * F.get("logs", F.lit(i))).alias(f"s{i}") for i in range(langs)]
+    sums = grams.join(logs, "gram").groupBy("row").agg(F.sum("n").alias("n"), *each)
+    sums = sums.select("row", "n", F.array(*[-F.col(f"s{i}") / F.col("n") for i in range(langs)]).alias("h"))
+    out = rows.join(sums, "row", "left")
+    return out.select("text", *others, F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("h", F.array_repeat(F.lit(0.0), langs)).alias("h"))
+
+
+def train(docs: DataFrame, training: Column, order: int = ORDER, send_bytes: int = SEND_BYTES) -> Model:
+    """A model of docs' rows with text and lang for which training holds: every language, every n-gram.
+
+    Rejection: each language's worst cross-entropy is the mean of its distinct texts in one fold of FOLDS, as a model
+    fitted on the other folds scores them, plus six standard deviations (SLACK nats at least). A language without a text
+    there has the largest of the others' (without any, all is accepted).
+    """
+    fold = (F.pmod(F.xxhash64("text"), F.lit(FOLDS)) != 0).cast("int")
+    rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", fold.alias("fold"), "text")
+    grams = mapped(rows, _counted(order), "lang string, fold int, gram long, n long")
+    rest = F.sum(F.col("n") * F.col("fold"))
+    grams = written(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"), rest.alias("rest")), "ngrams")
+    langs = sorted(r[0] for r in grams.select("lang").distinct().collect())
+    if not langs:
+        return Model([], order, np.zeros(0))
+    model = _model(grams.select("lang", "gram", "n"), langs, order, send_bytes)
+    calibrate(model, grams.where("rest > 0").select("lang", "gram", F.col("rest").alias("n")), rows.where("fold = 0"), send_bytes)
+    return model
+
+
+def calibrate(model: Model, counts: DataFrame, rows: DataFrame, send_bytes: int) -> None:
+    """Sets model.worst from rows (lang, text) and the counts of the other folds."""
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return
+    other = _model(counts, langs, model.order, send_bytes)
+    own = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    rows = rows.select("text", "lang", F.xxhash64("text").alias("copy")).where(F.try_element_at(own, F.col("lang")).isNotNull())
+    scored = _measured(rows, other, ("lang", "copy")).where("n > 0").select("lang", "copy", F.get("h", F.try_element_at(own, F.col("lang"))).alias("h"))
+    stats = scored.groupBy("lang", "copy").agg(F.first("h").alias("h")).groupBy("lang").agg(F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd")).collect()
+    worst = {r["lang"]: r["mean"] + max(6 * r["sd"], SLACK) for r in stats}
+    model.worst = np.array([worst.get(lang, max(worst.values(), default=np.inf)) for lang in model.langs])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -280,24 +323,26 @@ def learned(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
+def _judged(measured: DataFrame, model: Model) -> DataFrame:
+    """measured and lang_pred, score, cross_entropy, accepted, from n and h."""
+    lowest, some = F.array_min("h"), F.col("n") > 0
+    langs, worst = F.array(*[F.lit(x) for x in model.langs]), F.array(*[F.lit(float(x)) for x in model.worst])
+    out = measured.withColumn("cross_entropy", F.when(some, lowest).otherwise(0.0)).withColumn("_at", F.when(some, F.array_position("h", lowest).cast("int") - 1))
+    shares = F.aggregate("h", F.lit(0.0), lambda a, x: a + F.exp(-SHARPNESS * (x - lowest)))
+    accepted = F.col("cross_entropy") <= F.get(worst, F.col("_at")) + SHORT_TEXT / F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double"))
+    out = out.withColumn("lang_pred", F.coalesce(F.get(langs, F.col("_at")), F.lit("und"))).withColumn("score", F.when(some, 1 / shares).otherwise(0.0))
+    return out.withColumn("accepted", F.coalesce(some & accepted, F.lit(False))).drop("_at", "n", "h")
+
+
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row the columns of keep, lang_pred, score (0 to 1, of the language among the learned), cross_entropy, accepted.
 
     Null texts and texts without a letter are und with score 0, not accepted; so is every text if nothing was learned.
+    Of languages that score alike the first by name is taken.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*keep, "lang_pred", "score", "cross_entropy", "accepted"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                langs, score, h, accepted = judged(sent.value, part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(h, pa.float64()), pa.array(accepted, pa.bool_())], names=names)
-
-    docs = docs.select("text", *keep)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return docs.mapInArrow(run, fields + "lang_pred string, score double, cross_entropy double, accepted boolean")
+    if not model.langs:
+        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(False).alias("accepted"))
+    return _judged(_measured(docs, model, keep), model)
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
@@ -312,14 +357,10 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' rows, all columns, whose language is accepted; with nothing learned all rows."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    column = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                yield part.filter(pa.array(judged(sent.value, part.column(column).to_pylist())[3])) if sent.value.langs else part
-
-    return docs.mapInArrow(run, docs.schema)
+    """docs' rows, all columns, whose language is accepted; with nothing learned all rows. Null texts and texts without
+    a letter go; repeated rows are judged alike; an empty table gives no rows."""
+    if not model.langs:
+        return docs
+    mine = {c: c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)}
+    judged = predict(docs.select(*[F.col(f"`{c}`").alias(m) for c, m in mine.items()]), model, tuple(mine.values()))
+    return judged.where("accepted").select(*[F.col(m).alias(c) for c, m in mine.items()])
