@@ -4,8 +4,8 @@ P(grade > k) = sigmoid(w.x - threshold_k): one weight vector is shared, the thre
 is made of, hashed: its distinct words, the shapes of its words, and coarse steps of its shares of capitals, signs and
 repetition. Words are counted over whole texts.
 
-The model is fitted on the driver on a hashed sample of at most max_rows labelled documents (a parameter); a row of x
-has at most DIM entries. Everything else is one pass over all documents without a shuffle.
+The model is fitted on the driver on a sample of labelled documents, those of the least hashes, bounded by two parameters:
+max_rows documents and max_entries entries of x in all. Everything else is one pass over all documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped, written
+
 DIM = 1 << 18
 MAX_ROWS = 6000
-CACHED = 200_000
+MAX_ENTRIES = 20_000_000
+CACHED = 100_000
 CORE = re.compile(r"^\W*(.*?)\W*$", re.S)
 _places: dict[str, int] = {}
 
@@ -132,15 +135,15 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when(F.coalesce(toxic, F.lit(0)) != 0, 1).when(quality.isNotNull(), 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """labels: doc_id, quality, toxic. At most max_rows of them, those of the least hashes, are joined and collected as
-    features. A document rated twice counts twice; ratings without a document, and nulls, don't count."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES) -> Model:
+    """labels: doc_id, quality, toxic. Of rated documents those of the least hashes are learned from: max_rows of them at
+    most, and as many as have max_entries entries of x together.
+
+    A document rated twice counts twice, one that stands repeatedly in docs once; ratings without a document, and nulls,
+    don't count, nor do texts without a word.
+    """
     rated = labels.select(F.col("doc_id").alias("_doc"), grade(F.col("quality"), F.col("toxic")).alias("grade")).where("_doc is not null and grade is not null")
-    total = rated.count()
-    share = min(1.0, 0.9 * max_rows / max(total, 1))
-    if share < 1:
-        rated = rated.where(F.pmod(F.xxhash64("_doc"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rated = rated.orderBy("_doc", "grade").limit(max_rows)
+    rated = rated.orderBy(F.xxhash64("_doc"), "_doc", "grade").limit(max_rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(rated), F.col("doc_id") == F.col("_doc")).select("doc_id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +152,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             packed = [pa.array([x[k].tobytes() for x in xs], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *packed], names=["doc_id", "grade", "at", "x"])
 
-    got = chosen.mapInArrow(run, "doc_id long, grade int, at binary, x binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["grade"], bytes(r["at"])))
-    got = [r for r in got if r["at"]]
-    return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32)) for r in got], np.array([r["grade"] for r in got], int))
+    found = mapped(chosen, run, "doc_id long, grade int, at binary, x binary").where("length(at) > 0")
+    found = found.withColumn("h", F.xxhash64("doc_id", "at", "x")).withColumn("entries", F.length("at") / 4)
+    # a document that stands often is one row for each of its ratings; repeated ratings come back from rated's own count
+    found = written(found.groupBy("h", "doc_id", "grade").agg(F.first("at").alias("at"), F.first("x").alias("x"), F.first("entries").alias("entries")), "features")
+    sizes = found.join(F.broadcast(rated.groupBy("_doc", F.col("grade").alias("g")).agg(F.count("*").alias("times"))), (F.col("doc_id") == F.col("_doc")) & (F.col("grade") == F.col("g")))
+    sizes = sizes.select("h", "grade", "times", "entries").orderBy("h", "grade").limit(max_rows).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["entries"]
+        if total > max_entries and last is not None:
+            break
+        last = r["h"]
+    got = {(r["h"], r["grade"]): r for r in found.where(F.col("h") <= F.lit(last)).select("h", "grade", "at", "x").collect()} if sizes else {}
+    rows = [got[r["h"], r["grade"]] for r in sizes if r["h"] <= last for _ in range(r["times"])]
+    return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32)) for r in rows], np.array([r["grade"] for r in rows], int))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -178,7 +192,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     docs = docs.select("text", *keep)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return docs.mapInArrow(run, fields + "expected_grade double, p_fair double, p_good double")
+    return mapped(docs, run, fields + "expected_grade double, p_fair double, p_good double")
 
 
 def graded(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -191,7 +205,8 @@ def graded(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_rows: int
 
 
 def kept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """docs' rows, all columns, whose P(grade >= 1) reaches least; with nothing learned all rows."""
+    """docs' rows, all columns, whose P(grade >= 1) reaches least; with nothing learned all rows. Null and wordless texts
+    are judged by the thresholds alone; repeated rows alike; an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index("text")
 
@@ -201,4 +216,4 @@ def kept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for b in batches:
             yield b if at is None else b.filter(pa.array([bool(m.tails(t.as_py())[at] >= least) for t in b.column(column)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
