@@ -2,8 +2,10 @@
 
 A document's key is -ln(u) / w for a hashed u in (0, 1) and its quality weight w: ascending keys are weighted sampling
 without replacement. Whole epochs of a source come first; what its target has left goes to its documents by key until
-their prefix sum reaches it. The prefix sum is found in two steps, so that a hot source is never sorted in one task:
-sums by source and key range, then the rows of the one range in which the target is reached.
+their prefix sum reaches it. A hot source is never sorted in one task: the prefix sum is found first over CELLS ranges
+of keys, then over as many parts of the one range in which the target is reached, and by rows only in the part of a part
+that is left. A range holds a hundredth of a source's rows at most and a part of it 1/CELLS of that, whatever the
+weights; only rows with one key, which are the same in doc_id and text, can be more, and those are dealt by file.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from .common import written
 WORD = r"[^\x20\x09-\x0D]+"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 WEIGHTS = (5, 2, 1)
-RANGES = 1024
+#: The least quality weight.
+LEAST_WEIGHT = 0.1
+CELLS = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -24,26 +28,29 @@ def n_words(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """0.1 to 1: falls with the share of ASCII punctuation; 0.1 for null or empty texts."""
+    """0.1 to 1, a document's default weight: falls with the share of ASCII punctuation; 0.1 for null or empty texts."""
     share = F.regexp_count(text, F.lit(PUNCTUATION)) / F.length(text)
-    return F.when(F.length(text) > 0, F.greatest(F.lit(0.1), 1 - 4 * share)).otherwise(F.lit(0.1))
+    return F.when(F.length(text) > 0, F.greatest(F.lit(LEAST_WEIGHT), 1 - 4 * share)).otherwise(F.lit(LEAST_WEIGHT))
 
 
-def sampling_key(doc_id: Column, size: Column, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight, u from 48 bits of the md5 of seed, doc_id and size: reruns agree."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), doc_id.cast("string"), size.cast("string"))), 1, 12), 16, 10).cast("double")
+def sampling_key(doc_id: Column, text: Column, weight: Column, seed: str) -> Column:
+    """-ln(u) / weight, u from 48 bits of the md5 of seed, doc_id and the text's md5: reruns agree."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), doc_id.cast("string"), F.md5(text))), 1, 12), 16, 10).cast("double")
     return -F.log((bits + 0.5) / F.lit(float(1 << 48))) / weight
 
 
-def key_range(key: Column) -> Column:
-    """0 to RANGES - 1, rising with the key."""
-    return F.least(F.floor((1 - F.exp(-key)) * RANGES), F.lit(RANGES - 1)).cast("int")
+def key_cell(key: Column) -> Column:
+    """0 to CELLS squared - 1, rising with the key. exp(-LEAST_WEIGHT * key) is even in (0, 1) for the least weight, and
+    at most 1 / LEAST_WEIGHT times as dense anywhere for others up to 1."""
+    cells = CELLS * CELLS
+    return F.least(F.floor((1 - F.exp(-LEAST_WEIGHT * key)) * cells), F.lit(cells - 1)).cast("int")
 
 
-def measured(docs: DataFrame, seed: str) -> DataFrame:
-    """docs and size, weight, key and part (the key's range)."""
-    docs = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_key", sampling_key(F.col("doc_id"), F.col("_size"), quality_weight(F.col("text")), seed))
-    return docs.withColumn("_part", key_range(F.col("_key")))
+def measured(docs: DataFrame, seed: str, weight: Column | None = None) -> DataFrame:
+    """docs (doc_id, text, source and more) and _size, _key and _cell. weight: of a document, LEAST_WEIGHT to 1."""
+    weight = quality_weight(F.col("text")) if weight is None else weight
+    docs = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_key", sampling_key(F.col("doc_id"), F.col("text"), weight, seed))
+    return docs.withColumn("_cell", key_cell(F.col("_key")))
 
 
 def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -70,50 +77,86 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     return placed.select("source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
 
 
-def plan(rows: DataFrame, **options) -> DataFrame:
-    """From measured rows: per source its source_size, target, epochs and cut; a row of the source is taken once more
-    than epochs if its key is at most the cut. Rows with equal keys (repeated rows) share their fate."""
-    sums = written(rows.groupBy("source", "_part").agg(F.sum("_size").alias("n")), "ranges")
-    goal = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), **options)
-    goal = goal.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
-    goal = written(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
-    by_part = Window.partitionBy("source").orderBy("_part")
-    sums = sums.withColumn("before", F.sum("n").over(by_part) - F.col("n"))
-    edge = sums.join(goal.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).where("before <= rest and rest < before + n")
-    edge = written(edge.groupBy("source").agg(F.min(F.struct("_part", "before", "rest")).alias("e")).select("source", "e.*"), "edges")
-    near = rows.join(edge.select(F.col("source").alias("s"), F.col("_part").alias("p"), "before", "rest"), F.col("source").eqNullSafe(F.col("s")) & (F.col("_part") == F.col("p")))
-    near = near.groupBy("source", "_key").agg(F.sum("_size").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
-    near = near.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("_key")))
-    cut = near.where(F.col("upto") - F.col("n") / 2 <= F.col("rest")).groupBy("source").agg(F.max("_key").alias("cut"))
-    edge = edge.select("source", F.col("_part").alias("edge_part"))
-    out = goal.alias("g").join(edge.alias("e"), _same("g", "e"), "left").join(cut.alias("c"), _same("g", "c"), "left")
-    return written(out.select("g.*", F.coalesce("edge_part", F.when(F.col("rest") > 0, F.lit(RANGES)).otherwise(F.lit(0))).alias("edge_part"), "cut"), "mix")
-
+def _at_edge(rows: DataFrame, edge: DataFrame, same: Column) -> DataFrame:
+    """rows of edge's sources and places; edge's columns are e_*."""
+    edge = edge.select(*[F.col(c).alias(f"e_{c}") for c in edge.columns])
+    return rows.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & same)
 
-def _same(a: str, b: str) -> Column:
-    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
+def _reached(sums: DataFrame, place: str) -> DataFrame:
+    """(source, place, before, rest): of sums (source, place, n, start, rest) the first place in which rest is reached;
+    start is what comes before a source's first place."""
+    by_place = Window.partitionBy("source").orderBy(place)
+    sums = sums.withColumn("before", F.col("start") + F.sum("n").over(by_place) - F.col("n"))
+    edge = sums.where("before <= rest and rest < before + n").groupBy("source").agg(F.min(F.struct(place, "before", "rest")).alias("e"))
+    return edge.select("source", "e.*")
 
-def mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """docs with _size, source_size, target and _copies, the times that the mix takes the document (0 to 2).
 
-    Null or empty texts have size 0 and stay out of the last, partial epoch's account. A source without words has
-    target 0. Repeated rows share a key and so their fate. An empty table gives no rows.
-    """
-    mine = ["source_size", "target", "epochs", "edge_part", "cut", "rest", "_size", "_key", "_part", "_copies", "_source"]
-    docs = docs.drop(*mine)
-    slim = written(measured(docs.select("doc_id", "source", "text"), seed).select("source", "_size", "_key", "_part"), "measured")
-    return taken(measured(docs, seed), plan(slim, **options))
+def plan(rows: DataFrame, **options) -> DataFrame:
+    """Of rows (source, _size, _key, _cell, _file, _row; a written table), per source: source_size, target, epochs, and
+    what is taken once more than epochs: cells under edge_cell and, in that cell, keys under edge_key and `ties` of the
+    rows with that key. edge_cell is null where the whole source (all) or nothing more is taken."""
+    coarse = F.floor(F.col("_cell") / CELLS).cast("int")
+    sums = written(rows.groupBy("source", coarse.alias("range")).agg(F.sum("_size").alias("n")), "ranges")
+    goal = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), **options)
+    goal = goal.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
+    goal = written(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
+    wanted = goal.where("rest > 0").select(F.col("source").alias("s"), "rest")
+    sums = sums.join(wanted, F.col("source").eqNullSafe(F.col("s"))).withColumn("start", F.lit(0).cast("long"))
+    edge = written(_reached(sums, "range"), "edges")
+    cells = _at_edge(rows, edge, coarse == F.col("e_range")).groupBy("source", "_cell").agg(F.sum("_size").alias("n"), F.first("e_before").alias("start"), F.first("e_rest").alias("rest"))
+    edge = written(_reached(cells, "_cell"), "cells")
+    keys = _at_edge(rows, edge, F.col("_cell") == F.col("e__cell")).groupBy("source", "_key").agg(
+        F.sum("_size").alias("n"), F.max("_size").alias("size"), F.first("_cell").alias("_cell"), F.first("e_before").alias("start"), F.first("e_rest").alias("rest")
+    )
+    keys = keys.withColumn("before", F.col("start") + F.sum("n").over(Window.partitionBy("source").orderBy("_key")) - F.col("n"))
+    # the key in which rest is reached; of its rows, those whose middle lies under rest
+    last = keys.where("n > 0 and before <= rest").groupBy("source").agg(F.max(F.struct("_key", "_cell", "before", "rest", "size")).alias("e")).select("source", "e.*")
+    ties = F.floor((F.col("rest") - F.col("before")) / F.col("size") + 0.5).cast("long")
+    last = last.select(F.col("source").alias("s"), F.col("_cell").alias("edge_cell"), F.col("_key").alias("edge_key"), ties.alias("ties"))
+    out = goal.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
+    return written(out.select("source", "source_size", "target", "epochs", (F.col("rest") >= F.col("source_size")).alias("all"), "edge_cell", "edge_key", "ties"), "mix")
 
 
 def taken(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    more = (F.col("_part") < F.col("edge_part")) | ((F.col("_part") == F.col("edge_part")) & F.coalesce(F.col("_key") <= F.col("cut"), F.lit(False)))
-    rows = rows.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    return rows.withColumn("_copies", F.col("epochs") + F.when(more, 1).otherwise(0))
+    """rows with source_size, target and copies. Rows with the edge's own key are counted by file, so that no task holds
+    them all."""
+    goal = goal.withColumnRenamed("source", "s")
+    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("s")))
+    tied = F.col("_cell").eqNullSafe(F.col("edge_cell")) & (F.col("_key") == F.col("edge_key"))
+    under = F.coalesce((F.col("_cell") < F.col("edge_cell")) | ((F.col("_cell") == F.col("edge_cell")) & (F.col("_key") < F.col("edge_key"))), F.col("all"))
+    edge = rows.where(tied).groupBy("source", "_file").agg(F.count("*").alias("n"))
+    edge = edge.withColumn("passed", F.sum("n").over(Window.partitionBy("source").orderBy("_file")) - F.col("n"))
+    own = rows.where(tied).select("source", "_file", "_row", "ties").withColumn("k", F.row_number().over(Window.partitionBy("source", "_file").orderBy("_row")))
+    edge = edge.select(F.col("source").alias("e_source"), F.col("_file").alias("e_file"), "passed")
+    picked = own.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("_file") == F.col("e_file"))).where("passed + k <= ties")
+    picked = written(picked.select(F.col("_file").alias("p_file"), F.col("_row").alias("p_row")), "picked")
+    rows = rows.join(picked, (F.col("_file") == F.col("p_file")) & (F.col("_row") == F.col("p_row")), "left")
+    more = F.when(tied, F.col("p_row").isNotNull()).otherwise(F.coalesce(under, F.lit(False)))
+    return rows.withColumn("copies", F.col("epochs") + more.cast("int"))
+
+
+def _placed(table: DataFrame) -> DataFrame:
+    """A written table with each row's file and its place there."""
+    return table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def mix(docs: DataFrame, seed: str = "mix", weight: Column | None = None, **options) -> DataFrame:
+    """(row, size, source_size, target, copies): row is a struct of all of docs' columns, whatever their names; copies
+    is how often the mix takes the document (0 to 2).
+
+    docs: doc_id, text, source and more. Null or empty texts have size 0 and stay out of the last, partial epoch's
+    account. A source without words has target 0. Repeated rows have one key; as many of them are taken as the target
+    asks for. An empty table gives no rows.
+    """
+    whole = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
+    rows = _placed(written(measured(whole, seed, weight).drop("doc_id", "text"), "measured"))
+    slim = rows.drop("row")
+    return taken(rows, plan(slim, **options)).select("row", F.col("_size").alias("size"), "source_size", "target", "copies")
 
 
 def mixed_sizes(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words, repeats counted), without reading texts twice."""
-    rows = written(measured(docs.select("doc_id", "source", "text"), seed).drop("text"), "measured")
+    rows = _placed(written(measured(docs.select("doc_id", "text", "source"), seed).drop("text"), "measured"))
     out = taken(rows, plan(rows, **options))
-    return out.select("doc_id", F.col("_size").alias("size"), "source_size", F.round("target", 6).alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), "source")
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", F.round("target", 6).alias("target"), (F.col("_size") * F.col("copies")).alias("taken"), "source")
