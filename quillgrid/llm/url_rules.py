@@ -7,12 +7,16 @@ allow or block, always goes before what its aliases say.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import lower_ascii, mapped, written
 from .components import connected_components
 
 #: Fixed values: (verdict, host, path).
@@ -35,30 +39,57 @@ def node(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host(url), path(url), query))
 
 
-def absolute(target: Column, base: Column) -> Column:
-    """target as a URL, seen from the page at base."""
-    target = F.trim(target)
-    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    top = F.concat(scheme, F.lit("://"), host(base))
-    return (
-        F.when(target == "", None)
-        .when(F.contains(target, F.lit("://")), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(top, target))
-        .otherwise(F.concat(top, F.when(folder == "", F.lit("/")).otherwise(folder), target))
-    )
+class _Links(HTMLParser):
+    """What a page says it is an alias of: canonical links and refresh redirects, and the base they are seen from."""
+
+    def __init__(self):
+        super().__init__()
+        self.base, self.targets = None, []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = {k: v or "" for k, v in reversed(attrs)}  # of repeated attributes the first counts
+        if tag == "base" and self.base is None and "href" in a:
+            self.base = a["href"].strip()
+        elif tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            self.targets.append(a.get("href", "").strip())
+        elif tag == "meta" and a.get("http-equiv", "").strip().lower() == "refresh":
+            self.targets.append(refresh_target(a.get("content", "")))
+
+    handle_startendtag = handle_starttag
+
+
+def refresh_target(content: str) -> str:
+    """The URL of a refresh's content: '5; url=x', '0;"x"'; empty without one."""
+    found = re.match(r"\s*[\d.]*\s*[;,]\s*(?:url\s*=\s*)?(?:'([^']*)|\"([^\"]*)|(.*))", content, re.I | re.S)
+    return next((x for x in found.groups() if x), "").strip() if found else ""
+
+
+def targets(url: str, html: str) -> list[str]:
+    """Absolute http and https URLs that the page is an alias of, resolved as RFC 3986 says."""
+    links = _Links()
+    links.feed(html)
+    links.close()
+    out = []
+    for t in filter(None, links.targets):
+        try:
+            whole = urljoin(urljoin(url, links.base or ""), t)
+        except ValueError:  # no URL
+            continue
+        if whole.lower().startswith(("http://", "https://")):
+            out.append(whole)
+    return out
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(url, target) from each page's canonical links and its refresh redirects."""
-    tags = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)rel\s*=\s*["']?canonical|http-equiv\s*=\s*["']?refresh"""))
-    named = lambda t, pattern: F.regexp_extract(t, pattern, 1)
-    href = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]*)"""
-    fresh = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]*)"""
+    """(url, target) from each page's canonical links and refresh redirects. Pages without either never reach Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(u, t) for u, h in zip(b.column(0).to_pylist(), b.column(1), strict=True) for t in targets(u, h.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["url", "target"])
+
     some = F.col("html").rlike(r"(?i)canonical|http-equiv") & F.contains("url", F.lit("://"))
-    found = pages.where(some).select("url", F.explode(F.transform(tags, lambda t: F.when(t.rlike("(?i)^<link"), named(t, href)).otherwise(named(t, fresh)))).alias("t"))
-    return found.select("url", absolute(F.col("t"), F.col("url")).alias("target")).where("target is not null")
+    return mapped(pages.where(some).select("url", "html"), run, "url string, target string")
 
 
 def ruled(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
