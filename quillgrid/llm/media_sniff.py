@@ -9,8 +9,10 @@ first.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped, written
+
 FRAME = 576
 RATE = 8000
 UNKNOWN = "application/octet-stream"
@@ -127,22 +131,34 @@ def _gzip(b: bytes, at: int) -> int:
     return min(pos, len(b)) - len(machine.unused_data) - at
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at + 30)
-    while end >= 0 and end + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if start + size == end - at and b[at + start : at + start + 2] == b"PK" and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return 0
+class Marks:
+    """Where zip directories end and PDF marks stand, found once for a medium: no validator looks for them again."""
+
+    def __init__(self, b: bytes):
+        every = lambda mark: [m.start() for m in re.finditer(re.escape(mark), b)]
+        #: A zip's first byte, as a directory's end says -> that end, the first one of the same start.
+        self.zips: dict[int, int] = {}
+        for end in every(b"PK\x05\x06") if b"PK\x05\x06" in b else []:
+            if end + 22 <= len(b):
+                size, start, note = struct.unpack_from("<IIH", b, end + 12)
+                at = end - size - start
+                if at >= 0 and end >= at + 30 and end + 22 + note <= len(b) and b[at + start : at + start + 2] == b"PK":
+                    self.zips.setdefault(at, end + 22 + note)
+        self.pdfs, self.ends, self.refs = (every(m) if m in b else [] for m in (b"%PDF-", b"%%EOF", b"startxref"))
+
+
+def _zip(b: bytes, at: int, marks: Marks) -> int:
+    return marks.zips.get(at, at) - at
 
 
-def _pdf(b: bytes, at: int) -> int:
-    if not b[at + 5 : at + 6].isdigit() or b.find(b"startxref", at) < 0:
+def _pdf(b: bytes, at: int, marks: Marks) -> int:
+    """Up to the last end mark before the next PDF begins."""
+    if not b[at + 5 : at + 6].isdigit() or bisect_left(marks.refs, at) == len(marks.refs):
         return 0
-    end, next_one = b.find(b"%%EOF", at), b.find(b"%PDF-", at + 5)
-    last = b.rfind(b"%%EOF", at, next_one if next_one > 0 else len(b))
-    return last + 5 - at if end >= 0 and last >= end else 0
+    after = bisect_right(marks.pdfs, at)
+    limit = marks.pdfs[after] if after < len(marks.pdfs) else len(b)
+    last = bisect_right(marks.ends, limit - 5) - 1
+    return marks.ends[last] + 5 - at if last >= 0 and marks.ends[last] >= at else 0
 
 
 def _flac(b: bytes, at: int) -> int:
@@ -159,7 +175,7 @@ def _flac(b: bytes, at: int) -> int:
 
 
 #: Magic bytes and types.
-FORMATS: dict[bytes, tuple[str, Callable[[bytes, int], int]]] = {
+FORMATS: dict[bytes, tuple[str, Callable[..., int]]] = {
     b"RIFF": ("audio/wav", _wav),
     b"\x89PNG\r\n\x1a\n": ("image/png", _png),
     b"GIF87a": ("image/gif", _gif),
@@ -193,14 +209,18 @@ class Found:
 
 def carve(data: bytes) -> list[Found]:
     """Every valid medium in data by place; none inside another but for what lies within one at byte 0."""
-    out, clear = [], 0
+    out, clear, marks = [], 0, None
     for end, magic in automaton().iter(data.decode("latin-1")):
         at = end + 1 - len(magic)
         if at and at < clear:
             continue
         kind, validate = FORMATS[magic]
         try:
-            length = validate(data, at)
+            if validate in (_zip, _pdf):
+                marks = marks or Marks(data)
+                length = validate(data, at, marks)
+            else:
+                length = validate(data, at)
         except (struct.error, IndexError):
             length = 0
         if length:
@@ -248,7 +268,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 media = pa.array([as_wav(padded(x)) for x in raw], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([UNKNOWN] * len(raw)), media], names=["doc_id", "n_bytes", "declared", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, declared string, media binary")
 
 
 def features(media: bytes, declared: str | None) -> tuple[bytes, str]:
@@ -280,13 +300,14 @@ def examine(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "declared", "media").mapInArrow(run, fields)
+    return mapped(media.select("doc_id", "n_bytes", "declared", "media"), run, fields)
 
 
 def stored_and_examined(docs: DataFrame) -> DataFrame:
-    """One row per document: its text stored as a medium of undeclared type, then sniffed, read back and measured.
+    """One row per document: its text stored as a medium of undeclared type in a table, then read from there, sniffed and
+    measured.
 
     Equal texts give equal values. Repeated rows come back as often as they came; extra columns aren't read; an empty
-    table gives no rows.
+    table gives no rows. A medium is one row, whatever its length; it is read once from front to back but for inflating.
     """
-    return examine(text_media(docs))
+    return examine(written(text_media(docs), "media"))
