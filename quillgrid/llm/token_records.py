@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RangeBuckets, fresh_path, written
+from .common import RangeBuckets, fresh_path, mapped, written
 
 MARK = "\x1e<record-mark:01>"
 _MARK = MARK.encode()
@@ -147,11 +147,15 @@ def _framed(path: str, end_id: int):
 
 def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, rows_each: int = 1024) -> None:
     """Writes each document's ids and end_id as one record under out, in ascending doc_id: shard=0, shard=1, ... hold
-    ranges of doc_id, one file each. Rows without a doc_id come last; null texts have the end id only."""
+    ranges of doc_id, one file each. Documents of one doc_id are in the order of their records' bytes. Rows without a
+    doc_id come last, dealt over shards of their own by hash; null texts have the end id only."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = RangeBuckets(docs, "doc_id", rows_each)
-    framed = docs.select(cut.bucket(F.col("doc_id")).alias("shard"), "doc_id", "text").mapInArrow(_framed(tokenizer, end_id), "shard int, doc_id long, frame binary")
-    dealt = framed.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last())
+    loose = max(1, min(1 << 16, -(-docs.where("doc_id is null").count() // rows_each)))
+    shard = F.when(F.col("doc_id").isNull(), len(cut.starts) + F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(loose))).otherwise(cut.bucket(F.col("doc_id")))
+    framed = mapped(docs.select(shard.cast("int").alias("shard"), "doc_id", "text"), _framed(tokenizer, end_id), "shard int, doc_id long, frame binary")
+    dealt = framed.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "frame")
+    # bytes as a string column: the text writer copies them as they are
     dealt.select("shard", F.col("frame").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", MARK).text(out)
 
 
@@ -176,7 +180,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "shard int, file string, offset long, length long, doc_id long, start long, n_tokens long, ids_crc32 long")
     lines = spark.read.schema("value string, shard int").option("lineSep", MARK).text(path)
     raw = lines.select(F.col("value").cast("binary").alias("value"), "shard", F.concat(F.lit("shard="), F.col("shard").cast("string"), F.lit("/"), F.col("_metadata.file_name")).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    found = raw.mapInArrow(_parsed, "shard int, file string, block long, row long, doc_id long, n_tokens long, ids_crc32 long, length long")
+    found = mapped(raw, _parsed, "shard int, file string, block long, row long, doc_id long, n_tokens long, ids_crc32 long, length long")
     found = written(found, "records")
     shards = found.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))  # as many rows as RangeBuckets has starts
@@ -198,6 +202,27 @@ def shuffled(index: DataFrame, epoch: int) -> DataFrame:
     return index.orderBy(F.xxhash64("shard", "file", "offset", F.lit(epoch)), "shard", "file", "offset")
 
 
+def read_frames(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """(file, offset, doc_id, ids) of index's rows (file, offset, length), each cut from its file by offset and length and
+    checked. A file is read once, whatever the order of its rows; for shuffled reading order the result as shuffled()
+    orders the index."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.select(F.regexp_extract("path", r"(shard=\d+/[^/]+)$", 1).alias("file"), "content")
+    wanted = index.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, places, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                data = memoryview(content.as_buffer())
+                for i in range(0, len(places), 256):
+                    part = places[i : i + 256]
+                    found = [unframe(bytes(data[p["offset"] : p["offset"] + p["length"]])) for p in part]
+                    columns = [pa.array([file] * len(part)), pa.array([p["offset"] for p in part], pa.int64()), pa.array([d for d, _ in found], pa.int64()), pa.array([x.astype(np.int64) for _, x in found], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["file", "offset", "doc_id", "ids"])
+
+    return mapped(files.join(wanted, "file").select("file", "places", "content"), run, "file string, offset long, doc_id long, ids array<long>")
+
+
 def record_table(docs: DataFrame, tokenizer: str, end_id: int = 1, rows_each: int = 1024) -> DataFrame:
     """Writes docs' records to the shared folder and returns the index read back from them.
 
