@@ -1,10 +1,10 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and pieces, in SQL functions only.
 
-A section ends after a blank line, a paragraph after a line end, a piece after a sentence end or 48 characters.
-Nothing is cut away, so the pieces of a text spell it. A paragraph's hash is the SHA-256 of its text, a section's that
-of its paragraphs' hashes, the root that of its sections' hashes: equal roots mean equal texts, and comparing trees
-from the root down finds the branches that differ. Pieces carry a 48-bit hash and their length, so that two trees can
-also be likened by the share of text that they have in common.
+A section ends after a blank line, a paragraph after a line end, a piece after a sentence end or 48 characters (and 64
+end signs at most). Nothing is cut away, so the pieces of a text spell it. Pieces are the leaves: a paragraph's hash is
+the SHA-256 of its leaves' hashes, a section's that of its paragraphs', the root that of its sections': equal roots mean
+equal texts, and comparing trees from the root down finds all branches that differ, wherever they stand. Leaves also keep
+a 48-bit hash and their length, so that two trees can be likened by the share of text that their leaves have in common.
 """
 
 from __future__ import annotations
@@ -16,51 +16,76 @@ from .common import RangeBuckets
 
 SECTION_END = r"(?<=\n\n)(?!\n)"
 PARAGRAPH_END = r"(?<=\n)(?!\n)"
-PIECE = r"[^.!?\n]{1,48}[.!?\n]*|[.!?\n]+"
+PIECE = r"[^.!?\n]{1,48}[.!?\n]{0,64}|[.!?\n]{1,64}"
 
 
 def tree(text: Column) -> Column:
-    """struct<root, sections: array<struct<hash, paragraphs: array<string>>>>; null counts as the empty text."""
+    """struct<root, sections: array<struct<hash, paragraphs: array<struct<hash, leaves: array<bigint>>>>>>; a leaf is a
+    48-bit hash, then the piece's length in 16 bits. Null counts as the empty text."""
     text = F.coalesce(text, F.lit(""))
-    paragraphs = lambda section: F.transform(F.split(section, PARAGRAPH_END), lambda p: F.sha2(p, 256))
-    hashed = F.transform(
-        F.transform(F.split(text, SECTION_END), paragraphs), lambda ps: F.struct(F.sha2(F.array_join(ps, ""), 256).alias("hash"), ps.alias("paragraphs"))
-    )
-    return F.transform(
-        F.array(hashed), lambda s: F.struct(F.sha2(F.array_join(F.transform(s, lambda x: x["hash"]), ""), 256).alias("root"), s.alias("sections"))
-    )[0]
+    leaf = lambda p: F.shiftleft(F.xxhash64(p), 16).bitwiseOR(F.length(p).cast("long"))
+    sha = lambda hashes: F.sha2(F.array_join(hashes, ""), 256)
+    pieces = lambda paragraph: F.regexp_extract_all(paragraph, F.lit(PIECE), F.lit(0))
+    paragraph = lambda ps: F.struct(sha(F.transform(ps, lambda p: F.sha2(p, 256))).alias("hash"), F.transform(ps, leaf).alias("leaves"))
+    section = lambda ps: F.struct(sha(F.transform(ps, lambda p: p["hash"])).alias("hash"), ps.alias("paragraphs"))
+    cut = F.transform(F.split(text, SECTION_END), lambda s: F.transform(F.transform(F.split(s, PARAGRAPH_END), pieces), paragraph))
+    return F.transform(F.array(F.transform(cut, section)), lambda ss: F.struct(sha(F.transform(ss, lambda x: x["hash"])).alias("root"), ss.alias("sections")))[0]
 
 
-def pieces(text: Column) -> Column:
-    """Distinct pieces as longs: a 48-bit hash, then the length (65,535 at most) in the low 16 bits."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda p: F.shiftleft(F.xxhash64(p), 16).bitwiseOR(F.least(F.length(p), F.lit(65535)).cast("long"))))
+def _paragraphs(t: Column) -> Column:
+    return F.flatten(F.transform(t["sections"], lambda s: s["paragraphs"]))
 
 
-def _weight(found: Column) -> Column:
-    return F.aggregate(found, F.lit(0).cast("long"), lambda a, p: a + p.bitwiseAND(F.lit(65535)))
+def leaves(t: Column) -> Column:
+    """A tree's distinct leaves, each with how often it stands: sorted array<struct<leaf, n>>."""
+    every = F.array(F.array_sort(F.flatten(F.transform(_paragraphs(t), lambda p: p["leaves"]))))
+
+    def runs(xs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(xs)), lambda i: (i == 0) | ~F.get(xs, i).eqNullSafe(F.get(xs, i - 1)))
+        return F.transform(F.array(starts), lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda i, k: F.struct(F.get(xs, i).alias("leaf"), (F.get(at, k + 1) - i).alias("n"))))[0]
 
+    return F.transform(every, lambda xs: F.when(F.size(xs) > 0, runs(xs)).otherwise(F.array().cast("array<struct<leaf:bigint,n:int>>")))[0]
 
-def likeness(root_a: Column, pieces_a: Column, root_b: Column, pieces_b: Column) -> Column:
-    """1 for equal roots, else twice the common pieces' length by the sum of both (under 1)."""
-    both = F.greatest(_weight(pieces_a) + _weight(pieces_b), F.lit(1))
-    return F.when(root_a == root_b, F.lit(1.0)).otherwise(F.least(2 * _weight(F.array_intersect(pieces_a, pieces_b)) / both, F.lit(0.999999)))
+
+def _weight(found: Column) -> Column:
+    """Characters of leaves."""
+    return F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x["leaf"].bitwiseAND(F.lit(65535)) * x["n"])
+
+
+def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
+    """1 for equal roots, else twice the common leaves' characters, repeats counted, by both texts' (under 1)."""
+    # both sides' leaves sorted together: what they have in common stands side by side
+    both = F.array(F.array_sort(F.concat(leaves_a, leaves_b)))
+    shared = lambda xs: F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.size(xs) - 1, F.lit(1))), F.lit(0).cast("long"),
+        lambda a, i: a + F.when(F.get(xs, i)["leaf"] == F.get(xs, i - 1)["leaf"], F.get(xs, i)["leaf"].bitwiseAND(F.lit(65535)) * F.least(F.get(xs, i)["n"], F.get(xs, i - 1)["n"])).otherwise(0),
+    )
+    common = F.transform(both, shared)[0]
+    return F.when(root_a == root_b, F.lit(1.0)).otherwise(F.least(2 * common / F.greatest(_weight(leaves_a) + _weight(leaves_b), F.lit(1)), F.lit(0.999999)))
+
+
+def _among(known: Column, x: Column) -> Column:
+    """Whether x is in known, a sorted array, by binary search."""
+    step = lambda span, _: F.when(F.get(known, F.shiftright(span["low"] + span["high"], 1)) <= x, F.struct(F.shiftright(span["low"] + span["high"], 1).alias("low"), span["high"].alias("high"))).otherwise(
+        F.struct(span["low"].alias("low"), F.shiftright(span["low"] + span["high"], 1).alias("high"))
+    )
+    steps = F.sequence(F.lit(1), F.ceil(F.log2((F.size(known) + 1).cast("double"))).cast("int") + 1)
+    whole = F.struct(F.lit(0).alias("low"), F.size(known).alias("high"))
+    return F.coalesce(F.aggregate(steps, whole, step, lambda span: F.get(known, span["low"]) == x), F.lit(False))
 
 
-def _first_unlike(a: Column, b: Column) -> Column:
-    """0-based place where two arrays first differ; null if they don't."""
-    same = F.transform(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1), lambda i: F.get(a, i).eqNullSafe(F.get(b, i)))
-    at = F.array_position(same, False)
-    return F.when(at > 0, (at - 1).cast("int"))
+def changed(a: Column, b: Column) -> Column:
+    """array<struct<section, paragraph>>, 0-based: all paragraphs of tree b that tree a doesn't have, found through the
+    sections that it doesn't have. What stands in both trees at other places is unchanged."""
+    hashes = lambda nodes: F.array(F.array_sort(F.transform(nodes, lambda n: n["hash"])))
 
+    def walk(sections: Column, paragraphs: Column) -> Column:
+        below = lambda s, i: F.when(_among(sections, s["hash"]), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(
+            F.filter(F.transform(s["paragraphs"], lambda p, j: F.when(~_among(paragraphs, p["hash"]), F.struct(i.alias("section"), j.alias("paragraph")))), lambda x: x.isNotNull())
+        )
+        return F.flatten(F.transform(b["sections"], below))
 
-def first_difference(a: Column, b: Column) -> Column:
-    """struct<section, paragraph>, 0-based: the first branch in which two trees differ; nulls where they don't."""
-    hashes = lambda t: F.transform(t["sections"], lambda s: s["hash"])
-    section = _first_unlike(hashes(a), hashes(b))
-    none = F.array().cast("array<string>")
-    below = lambda t: F.coalesce(F.get(t["sections"], section)["paragraphs"], none)
-    return F.struct(section.alias("section"), F.when(section.isNotNull(), _first_unlike(below(a), below(b))).alias("paragraph"))
+    return F.transform(hashes(a["sections"]), lambda ss: F.transform(hashes(_paragraphs(a)), lambda ps: walk(ss, ps))[0])[0]
 
 
 def with_next(docs: DataFrame, rows_each: int = 256) -> DataFrame:
@@ -76,8 +101,7 @@ def with_next(docs: DataFrame, rows_each: int = 256) -> DataFrame:
     least = F.lit(cut.starts[0] if cut.starts else None).cast("long")
     place = lambda b, kind: F.struct(b.cast("int").alias("b"), F.lit(kind).alias("kind"))
     b = cut.bucket(F.col("doc_id"))
-    starts = F.split(F.lit(",".join(map(str, cut.starts[1:] or [""]))), ",").cast("array<bigint>")
-    first = F.array_contains(starts, F.col("doc_id")) if last else F.lit(False)
+    first = cut.is_start(F.col("doc_id"), b) & (b > 0)
     loose = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 12))
     places = F.array(
         F.when(F.col("doc_id").isNull(), place(loose, 0)).otherwise(place(b, 0)),
@@ -92,19 +116,20 @@ def fingerprint_documents(docs: DataFrame, rows_each: int = 256) -> DataFrame:
     """Per row: doc_id, n_chars, fingerprint (the root) of its text and of its edited text, and how alike trees are.
 
     The edited text has the last floor(n_chars / 2) characters replaced by the first as many (or all) of the next
-    document's. changed_section and changed_paragraph (0-based) locate the edit; null if there is none. Null texts
-    count as empty; an empty text's edited text is empty too. Extra columns are not looked at; an empty table gives no rows.
+    document's. changed: how many of the edited tree's paragraphs the tree doesn't have; changed_at: where (section and
+    paragraph, 0-based). Null texts count as empty; an empty text's edited text is empty too. Extra columns are not
+    looked at; repeated rows come back as often as they came; an empty table gives no rows.
     """
     order = Window.partitionBy("b").orderBy("kind", "doc_id", F.xxhash64("text"))
-    dealt = with_next(docs, rows_each).withColumn("tree", tree(F.col("text"))).withColumn("pieces", pieces(F.col("text")))
-    following = {f"next_{c}": F.when(F.col("b") >= 0, F.lead(F.struct(*v), 1).over(order)) for c, v in {"doc": ("text", F.col("tree.root").alias("root"), "pieces")}.items()}
-    rows = dealt.withColumns(following).where("kind = 0")
-    empty = F.struct(F.lit("").alias("text"), tree(F.lit(""))["root"].alias("root"), pieces(F.lit("")).alias("pieces"))
+    dealt = with_next(docs, rows_each).withColumn("tree", tree(F.col("text"))).withColumn("leaves", leaves(F.col("tree")))
+    following = F.when(F.col("b") >= 0, F.lead(F.struct("text", F.col("tree.root").alias("root"), "leaves"), 1).over(order))
+    rows = dealt.withColumn("next_doc", following).where("kind = 0")
+    empty = F.struct(F.lit("").alias("text"), tree(F.lit(""))["root"].alias("root"), leaves(tree(F.lit(""))).alias("leaves"))
     rows = rows.withColumn("next_doc", F.coalesce("next_doc", empty)).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - half), F.col("next_doc.text").substr(F.lit(1), half))
-    rows = rows.withColumn("edited", edited).withColumn("edited_tree", tree(F.col("edited"))).withColumn("edited_pieces", pieces(F.col("edited")))
-    changed = first_difference(F.col("tree"), F.col("edited_tree"))
+    rows = rows.withColumn("edited", edited).withColumn("edited_tree", tree(F.col("edited"))).withColumn("edited_leaves", leaves(F.col("edited_tree")))
+    rows = rows.withColumn("changed_at", changed(F.col("tree"), F.col("edited_tree")))
     root = F.col("tree.root")
     return rows.select(
         "doc_id",
@@ -112,8 +137,8 @@ def fingerprint_documents(docs: DataFrame, rows_each: int = 256) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         root.alias("fingerprint"),
         F.col("edited_tree.root").alias("edited_fingerprint"),
-        likeness(root, F.col("pieces"), F.col("edited_tree.root"), F.col("edited_pieces")).alias("near_edited"),
-        likeness(root, F.col("pieces"), F.col("next_doc.root"), F.col("next_doc.pieces")).alias("near_next"),
-        changed["section"].alias("changed_section"),
-        changed["paragraph"].alias("changed_paragraph"),
+        likeness(root, F.col("leaves"), F.col("edited_tree.root"), F.col("edited_leaves")).alias("near_edited"),
+        likeness(root, F.col("leaves"), F.col("next_doc.root"), F.col("next_doc.leaves")).alias("near_next"),
+        F.size("changed_at").alias("changed"),
+        "changed_at",
     )

@@ -18,7 +18,7 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.fingerprint_documents(_table(spark, sf_dir, "documents"))
+    return merkle.fingerprint_documents(_table(spark, sf_dir, "documents")).drop("changed_at")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
