@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in SQL functions only.
 
-A block is a line of a text; for scan, a line with those after it that a notice wrapped from it can reach. It meets a template if it holds at least `threshold` of the template's distinct words.
+A block is a line of a text; for scan, a line with those after it that a notice wrapped from it can reach. It meets a
+template if it holds at least `threshold` of the template's distinct words; scan also asks for a template's telling words.
 Words are ordered by how many documents hold them (rarest first, ties by code point), so that a template's prefix of
 size - overlap + 1 words must meet the block (prefix filter); blocks with too few template words are left out before
 (length filter), and a first common word too far along either side can't be followed by enough others (positional
@@ -27,22 +28,24 @@ BROADCAST_BYTES = 4 << 20
 #: Phrases whose places are counted, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Public license notices.
+#: Public license notices, and the words without which one isn't told from its like.
 TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License"),
-    ("agpl", "under the terms of the GNU Affero General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by", "Licensed under CC BY 4.0."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("mit", "Released under the MIT License.", "mit"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ""),
+    ("apache", "Licensed under the Apache License, Version 2.0.", "apache"),
+    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", ""),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3.", ""),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", ""),
+    ("lgpl", "under the terms of the GNU Lesser General Public License", "lesser"),
+    ("agpl", "under the terms of the GNU Affero General Public License", "affero"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ""),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", "nc"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0.", "sa"),
+    ("cc-by", "Licensed under CC BY 4.0.", "cc"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla"),
 )
+#: label, text and, if any, telling words.
+Templates = Sequence[tuple[str, ...]]
 
 
 def template_words(text: str) -> list[str]:
@@ -103,18 +106,18 @@ def frequencies(held: DataFrame) -> DataFrame:
     return held.select(F.explode(every).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def vocabulary_of(templates: Sequence[tuple[str, str]]) -> list[str]:
-    return sorted({w for _, t in templates for w in template_words(t)})
+def vocabulary_of(templates: Templates) -> list[str]:
+    return sorted({w for t in templates for w in template_words(t[1])})
 
 
-def word_order(held: DataFrame, templates: Sequence[tuple[str, str]]) -> list[str]:
+def word_order(held: DataFrame, templates: Templates) -> list[str]:
     """The templates' words, rarest in docs first; collects one count per word of the templates."""
     vocabulary = vocabulary_of(templates)
     n = dict(frequencies(held).collect()) if vocabulary else {}
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
-def join_templates(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def join_templates(docs: DataFrame, templates: Templates = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """(doc_id, h, block, template, label, containment, size) for every block that meets a template; h: the text's
     xxhash64; size: the template's distinct words.
 
@@ -125,14 +128,14 @@ def join_templates(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     return met.select("doc_id", "h", "block", "template", "label", "containment", "size").distinct()
 
 
-def _windows(held: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+def _windows(held: DataFrame, templates: Templates, threshold: float) -> DataFrame:
     """held's rows that can meet a template, once each, with windows for lines: each line that has words, and those after
     it within the longest template's length in words. Any run of that many words lies in the window of its first line."""
     whole = F.struct(F.lit(0).alias("n"), F.array_distinct(F.flatten("lines.held")).alias("held"), F.lit(0).alias("last"))
     some = _joined(held.select("doc_id", "h", F.array(whole).alias("lines")), templates, threshold).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).distinct()
     rows = held.join(some, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "h"])
     rows = rows.select("doc_id", "h", F.filter("lines", lambda x: x["n"] > 0).alias("lines"))
-    reach = max((len(re.findall("[0-9a-z]+", t.lower())) for _, t in templates), default=0)
+    reach = max((len(re.findall("[0-9a-z]+", t.lower())) for _, t, *_ in templates), default=0)
 
     def window(line: Column, i: Column) -> Column:
         # every line that is left has a word, so `reach` of them are enough
@@ -144,13 +147,13 @@ def _windows(held: DataFrame, templates: Sequence[tuple[str, str]], threshold: f
     return written(rows.select("doc_id", "h", F.transform("lines", window).alias("lines")), "windows")
 
 
-def _joined(held: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+def _joined(held: DataFrame, templates: Templates, threshold: float) -> DataFrame:
     """join_templates of what held_words gives for the templates' vocabulary, with each block's last line and the words
     of the template that it holds."""
     order = word_order(held, templates)
     rank = {w: i for i, w in enumerate(order)}
     index = []
-    for k, (label, text) in enumerate(templates):
+    for k, (label, text, *_) in enumerate(templates):
         ws = sorted(template_words(text), key=rank.get)
         need = max(1, math.ceil(threshold * len(ws) - 1e-9))
         index += [(w, k, label, ws, i, need) for i, w in enumerate(ws[: len(ws) - need + 1])]
@@ -169,18 +172,20 @@ def _joined(held: DataFrame, templates: Sequence[tuple[str, str]], threshold: fl
     return met.select("doc_id", "h", "block", "last", "template", "label", containment.alias("containment"), F.size("words").alias("size"), "matched").distinct()
 
 
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates: Templates = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, n_words, the phrases' places (n_base, first_word, last_word), labels and score.
 
-    base_labels: labels of the phrases found; labels: those and, those of the templates that a block meets, but for one
-    whose words there are all among those of a better met template (of equals the larger) in the same lines; both distinct, sorted,
-    comma-joined, empty where there are none. score: 1 if a phrase stands, else the best containment of a template
-    that is met, else 0. Null texts count as empty; repeated rows come back as often as they came; an empty table
+    base_labels: labels of the phrases found; labels: those and those of the templates that a block meets with their
+    telling words, but for one whose words there are all among those of a better met template (of equals the larger) in
+    the same lines; both distinct, sorted, comma-joined, empty where there are none. score: 1 if a phrase stands, else
+    the best containment of such a template, else 0. join_templates gives every pair that meets the threshold. Null texts count as empty; repeated rows come back as often as they came; an empty table
     gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     held = held_words(docs, vocabulary_of(templates), phrases)
     met = _joined(_windows(held, templates, threshold), templates, threshold)
+    telling = F.array(*[F.array(*[F.lit(w) for w in (t[2] if len(t) > 2 else "").split()]).cast("array<string>") for t in templates])
+    met = met.where(F.size(F.array_except(F.get(telling, F.col("template")), F.col("matched"))) == 0) if templates else met
     met = met.groupBy("doc_id", "h").agg(F.collect_set(F.struct("block", "last", "label", "containment", "size", "matched")).alias("every"))
 
     def outdone(x: Column, y: Column) -> Column:
