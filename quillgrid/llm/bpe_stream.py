@@ -23,13 +23,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Runs of a class, for a pretoken that goes on in the next chunk.
 RUNS = [regex.compile(p) for p in (r"\p{L}*", r"\p{N}*", r"\s*", r"[^\s\p{L}\p{N}]*")]
 SPACE = RUNS[2]
 LONG, BLOCK, CHUNK = 1 << 10, 1 << 12, 1 << 16
-CACHED, PAIRS = 400_000, 400_000
+CACHED, PAIRS = 120_000, 120_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -324,4 +326,4 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names=names)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)
+    return mapped(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)
