@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +27,8 @@ from .common import RangeBuckets, fresh_path, mapped, written
 
 MARK = "\x1e<record-mark:01>"
 _MARK = MARK.encode()
-CACHED = 700_000
+#: Bytes of pieces that are known by their ids, and of an entry beside its text.
+CACHED_BYTES, ENTRY = 192 << 20, 160
 
 
 def masked(crc: int) -> int:
@@ -71,12 +71,13 @@ class WordEncoder:
     Pieces that aren't known yet are sent to the library many at a time, as one text, and its offsets tell them apart.
     """
 
-    #: Fixed value: the tokenizer's own pattern.
-    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+    #: The tokenizer's own pattern over lower-cased text up to U+024F, where letters, numbers and white space are these.
+    LETTER, NUMBER, SPACE = "a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9²³¹¼½¾", " \t\n\x0b\x0c\r\x85\xa0"
+    PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+").findall
     #: The same over lower-cased ASCII.
     ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
-    #: Characters that composing may change, and the beginning of a special token.
-    ODD = regex.compile("[^\x00-\u024f]|<\\|").search
+    #: Characters that composing may change.
+    ODD = re.compile("[^\x00-\u024f]").search
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,39 +88,44 @@ class WordEncoder:
         self.library.no_padding()
         self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes of known, about
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def pieces(self, text: str) -> tuple[list[str], bool]:
         """The text's pieces, and whether each is exactly one word of the tokenizer."""
-        low = text.lower()
-        if self.ODD(low):
+        low, ascii = text.lower(), text.isascii()
+        if "<|" in low or not ascii and self.ODD(low):  # the beginning of a special token, or what composing may change
             return text.replace("\n", " ").split(" "), False
-        return (self.ASCII_PIECE if low.isascii() else self.PIECE)(low), True
+        return (self.ASCII_PIECE if ascii else self.PIECE)(low), True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         every = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHED:
+        if self.held > CACHED_BYTES:
             self.known.clear()
+            self.held = 0
         known = self.known
         for whole in (True, False):
             new = list(set().union(*(ps for ps, w in every if w == whole)).difference(known))
             for i in range(0, len(new), 4000):
                 some = new[i : i + 4000]
                 known.update(zip(some, self._encoded(some, whole), strict=True))
+                self.held += ENTRY * len(some) + sum(map(len, some))
         return [np.frombuffer(b"".join(map(known.__getitem__, ps)), self.kind) for ps, _ in every]
 
     def _encoded(self, pieces: list[str], whole: bool) -> list[bytes]:
-        found = self.library.encode(" ".join(pieces), add_special_tokens=False)
-        ids = np.array(found.ids, self.kind)
-        if whole and self.ends[ids].sum() == len(pieces):
-            at = np.flatnonzero(self.ends[ids]) + 1
+        text = " ".join(pieces)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        ends = self.ends[ids]
+        if whole and ends.sum() == len(pieces):
+            at = np.flatnonzero(ends) + 1
         else:
-            ends = np.cumsum([len(p) + 1 for p in pieces])
-            at = np.searchsorted([a for a, _ in found.offsets], ends)
-        width, packed = ids.itemsize, ids.tobytes()
-        at = (at * width).tolist()
+            found = self.library.encode(text, add_special_tokens=False)
+            ids, stops = np.array(found.ids, self.kind), np.cumsum([len(p) + 1 for p in pieces])
+            at = np.searchsorted([a for a, _ in found.offsets], stops)
+        packed = ids.tobytes()
+        at = (at * ids.itemsize).tolist()
         return [packed[a:b] for a, b in zip([0, *at], at, strict=False)]
 
 
