@@ -7,14 +7,12 @@ over the bits not yet used), up to three levels; the last level's shards can't e
 BK-tree is built and searched in the task that reads it: a cluster-wide broadcast of all trees would grow with the
 corpus. Copies never meet in a shard, as only distinct fingerprints enter one.
 
-For a similarity instead of two bits, similar_documents joins sets of shingles exactly (shingle_join). similar_links
-links fingerprints of 512 bits within a radius: shards hold what agrees on some bits at random places, and how many bits
-and how many such tables follows from the number of fingerprints and the recall asked for at the least similarity.
+For a similarity of sets instead of two bits, similar_documents joins sets of shingles exactly (shingle_join): no
+radius in fingerprints would find all pairs of a similarity.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, settled, written
 from .components import connected_components
 from .shingle_join import features, similar_pairs
 
@@ -69,7 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = [majority_bits(shingle_hashes(t, width)) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 def _thirds(bits: list[int]) -> list[list[int]]:
@@ -180,7 +178,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = 512) -> Data
         last = depth == len(levels) - 1
         more = [] if last else sizes.where(F.col("n") > shard_rows).take(1)
         small = (dealt.where(F.col("n") <= shard_rows) if more else dealt).select("mask", "part", "fp", "node")
-        pairs = small.repartition("mask", "part").sortWithinPartitions("mask", "part", "node").mapInArrow(_searched(radius), "u long, v long")
+        pairs = mapped(small.repartition("mask", "part").sortWithinPartitions("mask", "part", "node"), _searched(radius), "u long, v long")
         out = pairs if out is None else out.union(pairs)
         if not more:
             break
@@ -205,112 +203,34 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, shard
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), named)
 
 
-WIDE = 512
-
-
-def wide_bits(hashes: np.ndarray) -> bytes:
-    """A WIDE-bit SimHash of a set of 64-bit hashes, each stretched to WIDE bits by a mixing step for every word."""
-    hashes = np.unique(hashes)
-    ones = np.zeros(WIDE, np.int64)
-    for at in range(0, len(hashes), 255):
-        z = hashes[at : at + 255, None] + np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        ones += np.unpackbits(z.view(np.uint8).reshape(len(z), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
-
-
-def unlike_share(similarity: float) -> float:
-    """The share of bits in which SimHashes of sets of this Jaccard similarity are expected to differ."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def plan_tables(rows: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Bits of a table's key and number of tables: keys for about 64 rows each, tables for the recall."""
-    bits = max(12, math.ceil(math.log2(max(rows, 1) / 64)))
-    hit = (1 - unlike_share(similarity)) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
-
-
-def _dealt(bits: int, tables: int):
-    places = np.random.default_rng(20).permuted(np.tile(np.arange(WIDE), (tables, 1)), axis=1)[:, :bits]
-    powers = 1 << np.arange(bits, dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                fps, nodes = b.slice(i, 1024).columns
-                flat = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(len(fps), -1)
-                every = np.unpackbits(flat, axis=1, bitorder="little")
-                for t in range(tables):
-                    shard = every[:, places[t]] @ powers + (np.int64(t) << 48)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), fps, nodes], names=["shard", "fp", "node"])
-
-    return run
-
-
-def _grouped(radius: int):
-    """Links within each run of (shard, salt)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members = None, []
-
-        def found() -> pa.RecordBatch:
-            u, v = zip(*x, strict=True) if (x := shard_links(members, radius)) else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-        for b in batches:
-            for shard, salt, fp, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (shard, salt) != key:
-                    if len(members) > 1:
-                        yield found()
-                    key, members = (shard, salt), []
-                members.append((int.from_bytes(fp, "little"), n))
-        if len(members) > 1:
-            yield found()
-
-    return run
-
-
-def similar_links(nodes: DataFrame, similarity: float, recall: float, shard_rows: int = 512) -> DataFrame:
-    """(u, v) between nodes (fp: WIDE bits, node): links of at least the similarity, and few enough of them to connect
-    what they connect. A shard of over shard_rows is salted into parts, and every two parts are compared."""
-    share = unlike_share(similarity)
-    radius = round(WIDE * (share + 1.3 * math.sqrt(share * (1 - share) / WIDE)))
-    left = nodes.mapInArrow(_dealt(*plan_tables(nodes.count(), similarity, recall)), "shard long, fp binary, node long")
-    sizes = left.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
-    sizes = written(sizes.select(F.col("shard").alias("large"), F.ceil(F.col("n") / shard_rows).alias("parts")), "hot")
-    dealt = left.join(sizes, left["shard"] == sizes["large"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own, other = F.pmod(F.xxhash64("node"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    dealt = dealt.select("shard", "fp", "node", own.alias("own"), other.alias("other"))
-    dealt = dealt.withColumn("salt", F.least("own", "other") * (1 << 31) + F.greatest("own", "other"))
-    found = dealt.select("shard", "salt", "fp", "node").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "node")
-    return written(found.mapInArrow(_grouped(radius), "u long, v long"), "similar")
-
-
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h, component) of every row: h is its text's xxhash64, component the least node of its class.
 
     Texts are linked if the Jaccard similarity of their sets of width-word shingles is at least similarity; every such
-    link counts (shingle_join). Null and wordless texts are one class.
+    link counts (shingle_join). Null and wordless texts are one class. Repeated rows come back as often as they came; an
+    empty table gives no rows; a text of any length is one row.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    hashes = partial(shingle_hashes, width=width)
-    rows = written(features(texts, hashes, similarity), "features")
-    # a class of texts without any doc_id gets a node from its least hash
-    node = F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.min("h"), 2) + F.lit(NO_ID)).alias("node")
-    nodes = written(rows.groupBy("key").agg(node, F.min("h").alias("h"), *[F.first(c).alias(c) for c in ("size", "bits", "prefix")]), "nodes")
-    found = connected_components(similar_pairs(nodes, texts, hashes, similarity))
-    classes = nodes.join(found.withColumnRenamed("component", "c"), "node", "left").select("key", F.coalesce("c", "node").alias("component"))
-    return rows.select("doc_id", "h", "key").join(written(classes, "classes"), "key").select("doc_id", "h", "component")
+
+    def classes() -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+        hashes = partial(shingle_hashes, width=width)
+        rows = written(features(texts, hashes), "features")
+        # a class of texts without any doc_id gets a node from its least hash
+        node = F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.min("h"), 2) + F.lit(NO_ID)).alias("node")
+        nodes = written(rows.groupBy("key").agg(node, F.min("h").alias("h"), *[F.first(c).alias(c) for c in ("size", "bits", "wide", "bands")]), "nodes")
+        found = connected_components(similar_pairs(nodes, texts, hashes, similarity))
+        named = nodes.select("key", "node").join(found.withColumnRenamed("component", "c"), "node", "left").select("key", F.coalesce("c", "node").alias("component"))
+        return rows.select("doc_id", "h", "key").join(named, "key").select("doc_id", "h", "component")
+
+    return settled(docs.sparkSession, "classes", classes)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs' rows, all columns, of which one stays for each class of near-duplicates: that of the least doc_id."""
+    """docs' rows, all columns, of which one stays for each class of near-duplicates: that of the least doc_id (of equal
+    ones that of the least hash of all columns). Null and wordless texts are one class; an empty table gives no rows."""
     classes = similar_documents(docs, width, similarity)
     stays = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s"))
-    stays = stays.select(F.col("s.doc_id").alias("_doc"), F.col("s.h").alias("_h"))
-    h = F.xxhash64("text")
-    joined = docs.withColumn("_h0", h).join(stays, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h0") == F.col("_h")))
-    return joined.dropDuplicates(["_doc", "_h"]).select(*docs.columns)
+    stays = stays.select(F.col("s.doc_id").alias("doc"), F.col("s.h").alias("hash"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.xxhash64("*").alias("all"), F.struct("*").alias("row"))
+    kept = whole.join(stays, F.col("id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("hash")))
+    return kept.groupBy("doc", "hash").agg(F.min_by("row", "all").alias("row")).select("row.*")
