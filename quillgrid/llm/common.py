@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -88,19 +86,9 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Da
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of bounded bytes, in workers that give memory back: what Arrow and numpy
-    free goes to the system instead of being kept for later."""
+    """df.mapInArrow(run, schema) with batches of bounded bytes."""
     bounded_batches(df.sparkSession)
-
-    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())
-        try:
-            yield from run(batches)
-        finally:
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)
-
-    return df.mapInArrow(frugal, schema)
+    return df.mapInArrow(run, schema)
 
 
 def lower_ascii(text: Column) -> Column:
