@@ -6,6 +6,11 @@ longer. token_set_ratio: the best ratio among the sorted common words and those
 
 from __future__ import annotations
 
+from .geometry import near
+
+#: Likeness from which blocks are one, by token sets, by a part, by tokens of a contained one; least length.
+TOKENS, PART, CONTAINED, CHARS = 88, 92, 75, 15
+
 
 def common(a: str, b: str) -> int:
     """Length of the longest common subsequence, in bit-parallel rows."""
@@ -47,3 +52,43 @@ def token_set_ratio(a: str, b: str) -> float:
     one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
     best = ratio(one, two)
     return max(best, ratio(both, one), ratio(both, two)) if both else best
+
+
+def alike(a: dict, b: dict) -> float | None:
+    """How like two blocks (norm, region, x1, y1, x2, y2) are if they are one block read twice, else None. Equal norms are,
+    wherever they stand; like ones if near each other or of one region; a part or a contained one only if near."""
+    if not a["norm"] or not b["norm"]:
+        return None
+    if a["norm"] == b["norm"]:
+        return 100.0
+    together, region = near(a, b, 0.0, min, max, abs), a["region"] == b["region"]
+    if not (together or region):
+        return None
+    score = token_set_ratio(a["norm"], b["norm"])
+    if score >= TOKENS:
+        return score
+    short, long = sorted((a["norm"], b["norm"]), key=len)
+    if together and len(short) >= CHARS:
+        part = partial_ratio(short, long)
+        if part >= PART:
+            return part
+        if short in long and (region or score >= CONTAINED):
+            return max(score, part)
+    return None
+
+
+def distinct(blocks: list[dict]) -> tuple[list[dict], list[tuple[dict, dict, float]]]:
+    """Blocks in order without those that are like one kept before; one of a higher quality takes its place. Also what was
+    removed: (kept, removed, likeness)."""
+    kept, removed = [], []
+    for b in blocks:
+        for i, k in enumerate(kept):
+            if (score := alike(b, k)) is not None:
+                better = b["quality"] > k["quality"]
+                removed.append((b, k, score) if better else (k, b, score))
+                if better:
+                    kept[i] = b
+                break
+        else:
+            kept.append(b)
+    return kept, removed

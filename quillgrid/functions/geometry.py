@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,14 +59,19 @@ def overlaps(a: Column, b: Column) -> Column:
     return (F.least(a["x2"], b["x2"]) > F.greatest(a["x1"], b["x1"])) & (F.least(a["y2"], b["y2"]) > F.greatest(a["y1"], b["y1"]))
 
 
-def near(a: Column, b: Column) -> Column:
-    """Overlapping, beside each other on a line, or with centres close by."""
-    shared = F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
-    lower = F.greatest(F.lit(1.0), F.least(height(a), height(b)))
-    gap = F.greatest(a["x1"], b["x1"]) - F.least(a["x2"], b["x2"])
-    beside = (shared / lower > 0.35) & (gap < 0.5 * F.greatest(width(a), width(b)))
-    close = (F.abs(centre_x(a) - centre_x(b)) < 0.6 * F.greatest(width(a), width(b))) & (F.abs(centre_y(a) - centre_y(b)) < 0.6 * F.greatest(height(a), height(b)))
-    return (iou(a, b) > 0.12) | beside | close
+def near(a, b, zero=None, least: Callable = F.least, greatest: Callable = F.greatest, absolute: Callable = F.abs):
+    """Overlapping (an IoU of over 0.12), beside each other on a line, or with centres close by. Of columns; of plain
+    boxes too, with 0.0, min, max and abs."""
+    zero = F.lit(0.0) if zero is None else zero
+    wide, tall = (greatest(zero, r["x2"] - r["x1"]) for r in (a, b)), (greatest(zero, r["y2"] - r["y1"]) for r in (a, b))
+    (wa, wb), (ha, hb) = tuple(wide), tuple(tall)
+    dx, dy = greatest(zero, least(a["x2"], b["x2"]) - greatest(a["x1"], b["x1"])), greatest(zero, least(a["y2"], b["y2"]) - greatest(a["y1"], b["y1"]))
+    common = dx * dy
+    over = common > 0.12 * (wa * ha + wb * hb - common)
+    gap = greatest(zero, greatest(a["x1"], b["x1"]) - least(a["x2"], b["x2"]))
+    beside = (dy > 0.35 * greatest(zero + 1.0, least(ha, hb))) & (gap < 0.5 * greatest(wa, wb))
+    off_x, off_y = (absolute(a[p] + a[q] - b[p] - b[q]) / 2 for p, q in (("x1", "x2"), ("y1", "y2")))
+    return over | beside | ((off_x < 0.6 * greatest(wa, wb)) & (off_y < 0.6 * greatest(ha, hb)))
 
 
 def pdf_scale(page_width: Column, page_height: Column) -> Column:
@@ -99,8 +106,38 @@ def touches_border(b: Column, page_width: Column, page_height: Column, margin: f
     return sum(s.cast("int") for s in sides) >= 3
 
 
-def fit_font(chars: Column, box_width: Column, box_height: Column, largest: float, least: float, char_width: float = 0.5, line_height: float = 1.2) -> Column:
-    """The first size, in steps of half a point down from largest, at which one line fits; least if none does."""
-    sizes = F.sequence(F.lit(int(largest * 2)), F.lit(int(least * 2)), F.lit(-1))
-    fits = F.filter(sizes, lambda s: (chars * (s / 2) * char_width <= box_width) & ((s / 2) * line_height <= box_height))
-    return F.coalesce(F.get(fits, F.lit(0)) / 2, F.lit(float(least)))
+def clamp_rect(rect: Column, width: Column, height: Column) -> Column:
+    """A rectangle (x, y, width, height) moved and cut so that it lies within an image, 1 wide and high at least."""
+    x, y = F.greatest(F.lit(0), F.least(rect["x"], width - 1)), F.greatest(F.lit(0), F.least(rect["y"], height - 1))
+    side = lambda wanted, room: F.greatest(F.lit(1), F.least(wanted, room))
+    return F.struct(x.alias("x"), y.alias("y"), side(rect["width"], width - x).alias("width"), side(rect["height"], height - y).alias("height"))
+
+
+def fit_text(text: Column, box_width: Column, box_height: Column, start: Column, least: float, char_width: float = 0.52, line_height: float = 1.15) -> Column:
+    """The first size, in steps of half a point down from start, at which text fits as one line; least if none does;
+    start for a blank text."""
+    size = lambda k: start - k * 0.5
+    fits = lambda k: (size(k) >= least) & (F.length(text) <= F.greatest(F.lit(1), F.floor(box_width / (size(k) * char_width)))) & (size(k) * line_height <= box_height)
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((start - least) * 2).cast("int")))
+    at = F.get(F.filter(steps, fits), F.lit(0))
+    return F.when(F.trim(text) == "", start).when(at.isNotNull(), size(at)).otherwise(float(least)).cast("double")
+
+
+def fit_stack(label: Column, name: Column, height: Column, least_label: float = 14.0, least_name: float = 30.0) -> tuple[Column, Column]:
+    """Two sizes, one above the other, shrunk by half points until they fit into 90 % of a height: the name first, down to
+    its least, then the label."""
+    room = height * 0.90
+
+    def shrunk(size: Column, least: float, fits) -> Column:
+        steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((size - least) * 2).cast("int")))
+        at = F.get(F.filter(steps, lambda k: (size - k * 0.5 <= least) | fits(size - k * 0.5)), F.lit(0))
+        return F.when(size > least, size - at * 0.5).otherwise(size)
+
+    name = shrunk(name, least_name, lambda s: label * 1.15 + s * 1.12 <= room)
+    return shrunk(label, least_label, lambda s: s * 1.15 + name * 1.12 <= room), name
+
+
+def role_font_size(font_role: Column, height: Column) -> Column:
+    """Points for a block's text, from its role and its box's height in points."""
+    of = lambda least, most, share: F.least(F.lit(most), F.greatest(F.lit(least), height * share))
+    return F.when(font_role == "masthead", of(10.0, 28.0, 0.55)).when(font_role == "headline", of(12.0, 36.0, 0.65)).when(font_role.isin("caption", "meta"), of(7.0, 12.0, 0.45)).otherwise(of(7.0, 11.0, 0.42))

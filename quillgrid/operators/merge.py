@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..functions.fuzzy import partial_ratio, token_set_ratio
+from ..functions.fuzzy import distinct
 from .blocks import box
 
 
@@ -63,64 +65,33 @@ def best_language(attempts: DataFrame, enough: float = 0.9) -> DataFrame:
     return best.select("doc_id", "m.lang", "m.confidence")
 
 
+def quality(text: Column, confidence: Column, of_text_engine: Column | None = None) -> Column:
+    """A block's worth: its length, 20 for full confidence, 15 if the text engine read it, less 25 for noise."""
+    bonus = F.lit(0.0) if of_text_engine is None else F.when(of_text_engine, 15.0).otherwise(0.0)
+    return F.length(F.trim(text)) + 20 * F.coalesce(confidence, F.lit(0.0)) + bonus - F.when(T.is_noise(text), 25.0).otherwise(0.0)
+
+
 def exact_duplicates(blocks: DataFrame) -> DataFrame:
     """(page, pos, kept_pos): for each block whose normalised text stands on the page, the block that is kept of them:
     that of the best quality (length and confidence), the first among equals."""
-    rows = blocks.withColumn("norm", T.normalized_for_match(F.col("text"))).where("norm <> ''").withColumn("quality", F.length(F.trim("text")) + 20 * F.coalesce("confidence", F.lit(0.0)))
+    rows = blocks.withColumn("norm", T.normalized_for_match(F.col("text"))).where("norm <> ''").withColumn("quality", quality(F.col("text"), F.col("confidence")))
     best = F.min(F.struct((-F.col("quality")).alias("q"), "pos")).over(Window.partitionBy("page", "norm"))
     return rows.select("page", "pos", best["pos"].alias("kept_pos"))
 
 
 def fuzzy_duplicates(blocks: DataFrame) -> DataFrame:
-    """(page, pos, kept_pos, similarity) of removed blocks, greedily by pos: a block like one that is kept (token-set ratio
-    88 when near or of one region, partial ratio 92 when near and 15 characters, or contained and near) goes, or takes
-    its place if its quality is higher. Sequential by its semantics, so a page is one group. Blocks: page, pos, text,
+    """(page, pos, kept_pos, similarity) of removed blocks, greedily by pos: a block like one that is kept (fuzzy.alike) goes,
+    or takes its place if its quality is higher. Sequential by its semantics, so a page is one row. Blocks: page, pos, text,
     region, confidence, x1..y2."""
 
-    def near(a, b) -> bool:
-        w = lambda r: max(0.0, r.x2 - r.x1)
-        h = lambda r: max(0.0, r.y2 - r.y1)
-        dx, dy = min(a.x2, b.x2) - max(a.x1, b.x1), min(a.y2, b.y2) - max(a.y1, b.y1)
-        common = dx * dy if dx > 0 and dy > 0 else 0.0
-        joint = w(a) * h(a) + w(b) * h(b) - common
-        if joint > 0 and common / joint > 0.12:
-            return True
-        if dy / max(1.0, min(h(a), h(b))) > 0.35 and -dx < 0.5 * max(w(a), w(b)):
-            return True
-        return abs(a.x1 + a.x2 - b.x1 - b.x2) / 2 < 0.6 * max(w(a), w(b)) and abs(a.y1 + a.y2 - b.y1 - b.y2) / 2 < 0.6 * max(h(a), h(b))
-
-    def alike(a, b) -> float | None:
-        if a.norm == b.norm:
-            return 100.0
-        together, region = near(a, b), a.region == b.region
-        if not (together or region):
-            return None
-        short, long = sorted((a.norm, b.norm), key=len)
-        score = token_set_ratio(a.norm, b.norm)
-        if score >= 88:
-            return score
-        if together and len(short) >= 15:
-            part = partial_ratio(a.norm, b.norm)
-            if part >= 92 or short in long and (region or score >= 75):
-                return max(score, part)
-        return None
-
-    def run(groups: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        for r in groups.sort_values("pos").itertuples(index=False):
-            for i, k in enumerate(kept):
-                if (score := alike(r, k)) is not None:
-                    if r.quality > k.quality:
-                        out.append((k.page, k.pos, r.pos, score))
-                        kept[i] = r
-                    else:
-                        out.append((r.page, r.pos, k.pos, score))
-                    break
-            else:
-                kept.append(r)
-        return pd.DataFrame(out, columns=["page", "pos", "kept_pos", "similarity"])
-
-    rows = blocks.select("page", "pos", T.normalized_for_match(F.col("text")).alias("norm"), F.coalesce("region", F.lit("")).alias("region"), "x1", "y1", "x2", "y2", (F.length(F.trim("text")) + 20 * F.coalesce("confidence", F.lit(0.0))).alias("quality"))
-    return rows.where("norm <> ''").groupBy("page").applyInPandas(run, "page long, pos int, kept_pos int, similarity double")
-
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for page, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out += [(page, gone["pos"], kept["pos"], score) for kept, gone, score in distinct(rows)[1]]
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["page", "pos", "kept_pos", "similarity"])
+
+    rows = blocks.select(F.col("page").cast("long").alias("page"), F.col("pos").cast("int").alias("pos"), T.normalized_for_match(F.col("text")).alias("norm"), F.coalesce("region", F.lit("")).alias("region"), "x1", "y1", "x2", "y2", quality(F.col("text"), F.col("confidence")).alias("quality"))
+    whole = rows.where("norm <> ''").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "norm", "region", "x1", "y1", "x2", "y2", "quality"))).alias("rows"))
+    return whole.mapInArrow(run, "page long, pos int, kept_pos int, similarity double")

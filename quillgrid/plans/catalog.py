@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..lexicon import Lexicon
 from ..operators import blocks as B
 from ..operators import layout as Y
 from ..operators import lines as L
@@ -14,7 +15,8 @@ from ..operators import merge as J
 from ..operators import quality as Q
 from ..sources import pages as P
 
-#: Literal corrections for the query's own noise.
+#: Phrases for the query, and literal corrections for its own noise.
+SHORT_PHRASES = [(-1, "the"), (-2, "of The"), (-3, "ation"), (-4, ""), (-5, "no such phrase at all"), (-6, "e of the l")]
 CORRECTIONS = (("tione", "tion e"), ("erth", "earth"), ("lich", "light"))
 
 
@@ -56,7 +58,7 @@ def headline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trailing_signature_dateline(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     tail = F.when(F.col("doc_id") % 4 == 0, "\nPorvoo, 3 May 1987").when(F.col("doc_id") % 4 == 1, "\nOULU 1901,\nas told\nA. B. EDITOR.").when(F.col("doc_id") % 4 == 2, "\nTHE BOARD.").otherwise("")
-    return L.trailing(P.document_lines(docs.select("doc_id", F.concat("text", tail).alias("text"))))[1]
+    return L.trailing(P.document_lines(docs.select("doc_id", F.concat("text", tail).alias("text"))))
 
 
 def line_fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +122,8 @@ def bbox_pdf_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def caption_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.caption_candidates(_blocks(spark, sf_dir), ("blue", "steel"))
+    words = Lexicon(caption_keywords=("blue", "steel"), headline_markers=("RED",), metadata_markers=("GREEN",))
+    return B.caption_candidates(_blocks(spark, sf_dir), words)
 
 
 def role_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +189,9 @@ def layout_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.phrase_coverage(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    """The benchmark's passages, and short phrases: of one or two words, parts of words, and none."""
+    short = spark.createDataFrame(SHORT_PHRASES, "item_id long, text string")
+    return Q.phrase_coverage(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark").select("item_id", "text").union(short))
 
 
 def exact_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +214,7 @@ def correction_table_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def final_text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    noisy = F.concat(F.regexp_replace("text", " (the|de|la) ", "-\n$1 "), F.lit("­\x01(3,50 mk"))
+    noisy = F.concat(F.regexp_replace("text", " (the|de|la) ", "-\n$1 "), F.lit("\u00ad\x01 kasvol etta\n 1 mk (sis. lvv \npelätään. vielä on- nettomuus"))
     docs = _docs(spark, sf_dir).select("doc_id", noisy.alias("t"))
     return docs.select("doc_id", F.md5(T.cleaned(F.col("t"))).alias("digest"), F.array_join(T.cleanup_issues(F.col("t")), ",").alias("issues"))
 
@@ -223,7 +228,7 @@ def wrap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" pÃ¤ivÃ¤Ã¤ – �"))).otherwise(F.col("text"))
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" pÃ¤ivÃ¤Ã¤ – �"))).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" pÃ¤ivÃ¤ Ã©"))).otherwise(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", T.repair_mojibake(t).alias("text"))
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from ..functions.text import DATE_WORDS
+from ..lexicon import CLEANUP_ISSUES, FINAL_CORRECTIONS, LITERAL_FIXES
+from ..lexicon import CORRECTIONS as PAIRS
 from ..operators.blocks import FONT_ROLES, READING_ORDER, ZONE_TYPES, ZONES
 from ..operators.quality import DRIFT
-from .catalog import CORRECTIONS
+from .catalog import CORRECTIONS, SHORT_PHRASES
 
 LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents)"
 NOISY = LINES + """,
@@ -14,10 +16,13 @@ noisy AS (SELECT doc_id, idx, CASE WHEN (doc_id + idx) % 5 = 0 THEN text || '-'
 
 
 def _dehyphenated(source: str, name: str) -> str:
-    return f"""{name}_0 AS (SELECT *, rtrim(text) LIKE '%-' AND lead(idx) OVER o IS NOT NULL AS goes_on FROM {source} WINDOW o AS (PARTITION BY doc_id ORDER BY idx)),
-{name}_1 AS (SELECT *, NOT coalesce(lag(goes_on) OVER o, false) AS begins FROM {name}_0 WINDOW o AS (PARTITION BY doc_id ORDER BY idx)),
-{name}_2 AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS g, CASE WHEN goes_on THEN left(rtrim(text), length(rtrim(text)) - 1) ELSE text END AS piece FROM {name}_1),
-{name} AS (SELECT doc_id, min(idx) AS idx, string_agg(CASE WHEN begins THEN piece ELSE ltrim(piece) END, '' ORDER BY idx) AS text, min(y_min) AS y_min, max(y_max) AS y_max FROM {name}_2 GROUP BY doc_id, g)"""
+    """Line by line: what has come together so far either ends in '-' and takes in the next line, or is done."""
+    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS i FROM {source}),
+{name}_r AS (SELECT doc_id, i, idx, text, y_min, y_max, 1 AS g FROM {name}_n WHERE i = 1 UNION ALL
+  SELECT n.doc_id, n.i, CASE WHEN j THEN r.idx ELSE n.idx END, CASE WHEN j THEN left(rtrim(r.text), length(rtrim(r.text)) - 1) || ltrim(n.text) ELSE n.text END,
+    CASE WHEN j THEN least(r.y_min, n.y_min) ELSE n.y_min END, CASE WHEN j THEN greatest(r.y_max, n.y_max) ELSE n.y_max END, r.g + (NOT j)::INT
+  FROM (SELECT *, rtrim(text) LIKE '%-' AS j FROM {name}_r) r JOIN {name}_n n ON n.doc_id = r.doc_id AND n.i = r.i + 1),
+{name} AS (SELECT doc_id, idx, text, y_min, y_max FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY i DESC) AS k FROM {name}_r) WHERE k = 1)"""
 
 
 def _median(source: str, name: str) -> str:
@@ -92,10 +97,12 @@ ordered AS (SELECT t.*, (row_number() OVER (PARTITION BY page ORDER BY CASE WHEN
   FROM (SELECT typed.*, document_type = 'newspaper_front_page' AS paper FROM typed JOIN types USING (page)) t)"""
 ZONED = CLASSIFIED + f""",
 zd(zone, dx, dy, dw, dh) AS (VALUES {", ".join(f"('{z}', {b[0]}::DOUBLE, {b[1]}::DOUBLE, {b[2]}::DOUBLE, {b[3]}::DOUBLE)" for z, b in ZONES.items())}),
-zs AS (SELECT page, {_case(ZONE_TYPES, "block_type", "NULL")} AS zone, min(x1) AS a, min(y1) AS b, max(x2) AS c, max(y2) AS d FROM typed
+zs AS (SELECT page, {_case(ZONE_TYPES | {"image_caption": "caption"}, "block_type", "NULL")} AS zone, min(x1) AS a, min(y1) AS b, max(x2) AS c, max(y2) AS d FROM typed
   WHERE block_type NOT IN ('masthead_logo', 'newspaper_name') OR y2 <= 0.16 * 1200 GROUP BY ALL),
-zones AS (SELECT p.page, zd.zone, coalesce(a / 1000.0, dx) AS x, coalesce(b / 1200.0, dy) AS y, coalesce((c - a) / 1000.0, dw) AS w, coalesce((d - b) / 1200.0, dh) AS h, a IS NOT NULL AS found
-  FROM (SELECT DISTINCT page FROM blocks) p CROSS JOIN zd LEFT JOIN zs ON zs.page = p.page AND zs.zone = zd.zone)"""
+zb AS (SELECT p.page, zd.zone, coalesce(a / 1000.0, dx) AS x, coalesce(b / 1200.0, dy) AS y, coalesce((c - a) / 1000.0, dw) AS w, coalesce((d - b) / 1200.0, dh) AS h, a IS NOT NULL AS found
+  FROM (SELECT DISTINCT page FROM blocks) p CROSS JOIN zd LEFT JOIN zs ON zs.page = p.page AND zs.zone = zd.zone),
+zones AS (FROM zb UNION ALL SELECT zb.page, 'caption', coalesce(a / 1000.0, x), coalesce(b / 1200.0, y + h + 0.004), coalesce((c - a) / 1000.0, w), coalesce((d - b) / 1200.0, 0.028), a IS NOT NULL
+  FROM zb LEFT JOIN zs ON zs.page = zb.page AND zs.zone = 'caption' WHERE zb.zone = 'hero')"""
 #: Heights and shares by zone, tops one below the other, then all pressed into the usable page.
 STACKED = ZONED + """,
 zw AS (SELECT page, max(h) FILTER (zone = 'masthead') * 714 AS m0, max(h) FILTER (zone = 'meta') * 714 AS m1, max(h) FILTER (zone = 'headline') * 714 AS m2, max(h) FILTER (zone = 'hero') * 714 AS m3,
@@ -134,9 +141,20 @@ def _corrected() -> str:
     return t
 
 
+def _replaced(t: str, table: tuple) -> str:
+    for bad, good in table:
+        for x, y in dict.fromkeys(((bad, good), (bad.upper(), good.upper()))):
+            t = "replace({}, '{}', '{}')".format(t, x.replace("\n", "' || chr(10) || '"), y)
+    return t
+
+
+def _finalized(t: str) -> str:
+    return f"regexp_replace({_replaced(_replaced(t, PAIRS), FINAL_CORRECTIONS)}, '(?i)\\betta\\b', 'että', 'g')"
+
+
 def oracle_sql() -> dict[str, str]:
     cut120 = "CASE WHEN length(f) > 120 THEN rtrim(left(f, 117)) || '...' ELSE f END"
-    flowing = f"""WITH {NOISY}, {_headline("noisy")},
+    flowing = f"""WITH RECURSIVE {NOISY}, {_headline("noisy")},
 headed AS (SELECT DISTINCT doc_id FROM head), {_dehyphenated("head", "hd")},
 ht AS (SELECT doc_id, string_agg(trim(text), ' ' ORDER BY idx) FILTER (trim(text) <> '') AS title FROM hd GROUP BY doc_id),
 rest AS (SELECT * FROM noisy ANTI JOIN head USING (doc_id, idx)), {_dehyphenated("rest", "rd")},
@@ -151,23 +169,23 @@ tt AS (SELECT doc_id, title FROM ht UNION ALL SELECT doc_id, title FROM ft)
 SELECT doc_id, concat_ws(chr(10) || chr(10), '# ' || trim(title), body, dateline, '**' || signature || '**') || chr(10) AS markdown FROM tt LEFT JOIN pb USING (doc_id) LEFT JOIN tails USING (doc_id)"""
     tail = "CASE doc_id % 4 WHEN 0 THEN chr(10) || 'Porvoo, 3 May 1987' WHEN 1 THEN chr(10) || 'OULU 1901,' || chr(10) || 'as told' || chr(10) || 'A. B. EDITOR.' WHEN 2 THEN chr(10) || 'THE BOARD.' ELSE '' END"
     cover = _CUT.format(a="a", b="b")
-    gram = "array_to_string(list_slice(w, i, i + 4), ' ')"
     tries = ", ".join(f"({i}, '{x}')" for i, x in enumerate(("en", "de", "fr", "es")))
     drift = ", ".join(f"('{z}', '{m}', {t}::DOUBLE)" for z, m, t in DRIFT)
     fold = "translate({}, 'äö', 'ao')".format(_FINGER.format("text"))
     norm = "trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-    noise = "regexp_replace(text, ' (the|de|la) ', '-' || chr(10) || '\\1 ', 'g') || chr(173) || chr(1) || '(3,50 mk'"
-    clean = "nfc_normalize(regexp_replace(replace(t, chr(173), ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{FFFD}]', '', 'g'))"
+    noise = "regexp_replace(text, ' (the|de|la) ', '-' || chr(10) || '\\1 ', 'g') || chr(173) || chr(1) || ' kasvol etta' || chr(10) || ' 1 mk (sis. lvv ' || chr(10) || 'pelätään. vielä on- nettomuus'"
+    clean = f"nfc_normalize(regexp_replace(replace({_finalized('t')}, chr(173), ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{{FFFD}}]', '', 'g'))"
     for _ in range(4):
-        clean = f"regexp_replace({clean}, '(\\p{{Ll}})-[ \\t]*\\n[ \\t]*(\\p{{Ll}})', '\\1\\2', 'g')"
-    clean = f"regexp_replace({clean}, '(?m)\\(([0-9]+[.,][0-9]{{2}}) ?(mk|€|\\$)$', '(\\1 \\2)', 'g')"
-    issues = (("control_chars", "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"), ("soft_hyphen", "\\x{AD}"), ("replacement_char", "\\x{FFFD}"), ("broken_word", "\\p{Ll}-[ \\t]*\\n[ \\t]*\\p{Ll}"), ("unclosed_price", "(?m)\\([0-9]+[.,][0-9]{2} ?(mk|€|\\$)$"))
+        clean = f"regexp_replace(regexp_replace({clean}, '([\\p{{L}}\\p{{N}}_]{{2,}})-\\s*\\n\\s*([\\p{{L}}\\p{{N}}_]{{2,}})', '\\1\\2', 'g'), '([\\p{{L}}\\p{{N}}_]{{2,}})-\\s+([\\p{{L}}\\p{{N}}_]{{2,}})', '\\1\\2', 'g')"
+    clean = _replaced(clean, LITERAL_FIXES)
+    price = "CASE WHEN contains(lower(l), 'mk') AND contains(lower(l), 'sis.') AND contains(l, '(') AND NOT contains(l, ')') THEN regexp_replace(l, '\\s*$', '') || ')' || regexp_extract(l, '\\s*$') ELSE l END"
+    issues = [("control_or_replacement_chars", "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{FFFD}]"), ("soft_hyphen_present", "\\x{AD}"), *((n, f"(?i){p}") for n, p in CLEANUP_ISSUES)]
     found = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{n}' END" for n, p in issues)
     ocr = f"""dl AS (SELECT doc_id, unnest(string_split('# Title ' || doc_id || chr(10) || chr(10) || '---' || chr(10) || '## Part' || chr(10) || '> a' || chr(10) || '> b' || chr(10) || chr(10) || text, chr(10))) AS line,
   generate_subscripts(string_split('# Title ' || doc_id || chr(10) || chr(10) || '---' || chr(10) || '## Part' || chr(10) || '> a' || chr(10) || '> b' || chr(10) || chr(10) || text, chr(10)), 1) AS idx FROM documents)"""
     return {
         "doc_flowing_markdown": flowing,
-        "line_dehyphenate": f"WITH {NOISY}, {_dehyphenated('noisy', 'd')} SELECT doc_id, idx, text, y_min, y_max FROM d",
+        "line_dehyphenate": f"WITH RECURSIVE {NOISY}, {_dehyphenated('noisy', 'd')} SELECT doc_id, idx, text, y_min, y_max FROM d",
         "paragraph_groups": f"WITH {NOISY}, {_paragraphs('noisy')} SELECT * FROM pars",
         "headline_runs": f"WITH {NOISY}, {_headline('noisy')} SELECT doc_id, idx, text FROM head",
         "trailing_signature_dateline": f"WITH {LINES.replace('text, chr(10)', f'text || {tail}, chr(10)')}, {_trailing('lines')} SELECT doc_id, dateline, signature FROM tails",
@@ -193,8 +211,9 @@ SELECT page, pos, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PA
         "text_coverage_crop_policy": f"WITH {BLOCKS}, c AS (SELECT a.page, a.pos, least(1.0, coalesce(sum(CASE WHEN b.page IS NOT NULL THEN {cover} END), 0) / any_value((a.x2 - a.x1) * (a.y2 - a.y1))) AS coverage FROM blocks a LEFT JOIN blocks b ON a.page = b.page AND b.label <> 'image' AND trim(coalesce(b.text, '')) <> '' WHERE a.label = 'image' GROUP BY a.page, a.pos) SELECT *, coverage <= 0.15 AS can_crop FROM c",
         "bbox_pdf_coords": f"WITH {BLOCKS} SELECT page, pos, round(x1 * 0.595, 6) AS px1, round(714.0 - y2 * 0.595, 6) AS py1, round(x2 * 0.595, 6) AS px2, round(714.0 - y1 * 0.595, 6) AS py2 FROM blocks",
         "caption_candidates_topk": f"""WITH {BLOCKS}, hero AS (SELECT page, x1 AS hx1, x2 AS hx2, y2 AS hy2 FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (x2 - x1) * (y2 - y1) DESC, pos) AS k FROM blocks WHERE label = 'image') WHERE k = 1),
-s AS (SELECT page, pos, CASE WHEN trim(coalesce(text, '')) = '' THEN -10.0 ELSE CASE WHEN y1 >= hy2 - 24 THEN 3.0 ELSE 0 END + CASE WHEN (x2 - x1) / greatest(1.0, hx2 - hx1) BETWEEN 0.45 AND 1.6 THEN 2.0 ELSE 0 END - CASE WHEN (y1 + y2) / 2 > 744 THEN 5.0 ELSE 0 END
-  + CASE WHEN y2 - y1 < 60 THEN 2.0 ELSE 0 END - CASE WHEN length(trim(text)) > 220 THEN 2.0 ELSE 0 END + 2.0 * contains(lower(text), 'blue')::INT + 2.0 * contains(lower(text), 'steel')::INT END::DOUBLE AS score FROM blocks JOIN hero USING (page) WHERE label <> 'image')
+s AS (SELECT page, pos, CASE WHEN trim(coalesce(text, '')) = '' THEN -10.0 ELSE CASE WHEN y1 >= hy2 - 24 THEN 3.0 ELSE 0 END + CASE WHEN (x2 - x1) / (hx2 - hx1) BETWEEN 0.45 AND 1.6 THEN 2.0 ELSE 0 END - CASE WHEN (y1 + y2) / 2 > 744 THEN 5.0 ELSE 0 END
+  + CASE WHEN y2 - y1 < 60 THEN 2.0 ELSE 0 END + 2.0 * contains(lower(text), 'blue')::INT + 2.0 * contains(lower(text), 'steel')::INT - CASE WHEN contains(upper(text), 'RED') THEN 5.0 ELSE 0 END - CASE WHEN contains(upper(text), 'GREEN') THEN 5.0 ELSE 0 END
+  - CASE WHEN length(trim(text)) > 220 THEN 2.0 ELSE 0 END END::DOUBLE AS score FROM blocks JOIN hero USING (page) WHERE label <> 'image')
 SELECT page, pos, score FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, pos) AS k FROM s) WHERE k = 1 AND score >= 1.0""",
         "role_segments": f"WITH {ORDERED}, r AS (SELECT page, {_case(ZONE_TYPES | {'image_caption': 'caption'}, 'block_type', 'NULL')} AS role, reading_order, text FROM ordered) SELECT page, role, string_agg(text, chr(10) ORDER BY reading_order) AS text FROM r WHERE role IS NOT NULL AND trim(coalesce(text, '')) <> '' GROUP BY page, role",
         "iou_text_merge": f"""WITH {BLOCKS}, {SHIFTED}, p AS (SELECT a.page, a.pos, b.text, {_iou("a", "b")} AS iou, row_number() OVER (PARTITION BY a.page, a.pos ORDER BY {_iou("a", "b")} DESC, b.pos) AS k FROM blocks a JOIN shifted b ON a.page = b.page AND {_MEETS})
@@ -211,15 +230,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC,
         "lowconf_fallback": f"WITH {LINES}, s AS (SELECT doc_id, ((doc_id * 7 + idx * 13) % 100) / 100.0::DOUBLE AS score FROM lines), g AS (SELECT doc_id, avg(score) AS c, avg((score < 0.6)::INT) AS l FROM s GROUP BY doc_id) SELECT doc_id, round(c, 6) AS confidence, round(l, 6) AS low_share, c < 0.6 OR l > 0.2 AS fallback FROM g",
         "quality_gate": "WITH c AS (SELECT doc_id, length(text) <= 20 AS a, length(text) - length(replace(text, '@', '')) > 1 AS b, length(text) >= 4000 AS w FROM documents) SELECT doc_id, CASE WHEN a OR b THEN 'FAIL' WHEN w THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS status, (a::INT + b::INT + w::INT)::BIGINT AS n_failed FROM c",
         "layout_drift": f"WITH {ZONED}, l(zone, measure, lim) AS (VALUES {drift}), d AS (SELECT page, zone, measure, lim, CASE measure WHEN 'w' THEN abs(w - greatest(0.18, least(0.72, w))) ELSE abs(h - greatest(0.09, h)) END AS difference FROM zones JOIN l USING (zone)) SELECT page, zone, measure, round(difference, 9) AS difference, difference > lim AS warning FROM d",
-        "phrase_coverage_audit": f"""WITH k AS (SELECT item_id, {fold} AS phrase FROM benchmark), p AS (SELECT item_id, phrase, array_to_string(list_slice(string_split(phrase, ' '), 1, 5), ' ') AS gram FROM k WHERE phrase <> ''),
-d AS (SELECT doc_id, {fold} AS t, string_split({fold}, ' ') AS w FROM documents), g AS (SELECT doc_id, t, unnest(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: {gram}))) AS gram FROM d),
-h AS (SELECT item_id, count(DISTINCT doc_id) AS n FROM g JOIN p USING (gram) WHERE contains(t, phrase) GROUP BY item_id) SELECT item_id, coalesce(n, 0) AS n_docs FROM benchmark LEFT JOIN h USING (item_id)""",
+        "phrase_coverage_audit": f"""WITH q AS (SELECT item_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES {", ".join(f"({i}, '{p}')" for i, p in SHORT_PHRASES)})),
+k AS (SELECT item_id, {fold} AS phrase FROM q), d AS (SELECT {fold} AS t FROM documents) SELECT item_id, (SELECT count(*) FROM d WHERE contains(t, phrase)) AS n_docs FROM k""",
         "exact_text_dedup": f"""WITH {BLOCKS}, b AS (SELECT page // 50 AS page, text, (row_number() OVER (PARTITION BY page // 50 ORDER BY x1, y1, x2, y2, label, text))::INT AS pos FROM blocks), n AS (SELECT *, {norm} AS norm, length(trim(text)) + 17.0 AS q FROM b)
 SELECT page, pos, first_value(pos) OVER (PARTITION BY page, norm ORDER BY q DESC, pos) AS kept_pos FROM n WHERE norm <> ''""",
         "correction_table_apply": f"SELECT doc_id, md5({_corrected()}) AS digest FROM documents",
-        "final_text_cleanup": f"WITH d AS (SELECT doc_id, {noise} AS t FROM documents) SELECT doc_id, md5(trim({clean})) AS digest, array_to_string(list_filter([{found}], lambda x: x IS NOT NULL), ',') AS issues FROM d",
+        "final_text_cleanup": f"""WITH d AS (SELECT doc_id, {noise} AS t FROM documents), c AS (SELECT doc_id, t, {clean} AS c FROM d),
+e AS (SELECT doc_id, t, array_to_string(list_transform(string_split(c, chr(10)), lambda l: {price}), chr(10)) AS e FROM c)
+SELECT doc_id, md5(regexp_replace(e, '^\\s+|\\s+$', '', 'g')) AS digest, array_to_string(list_filter([{found}], lambda x: x IS NOT NULL), ',') AS issues FROM e""",
         "phrase_context": """WITH a AS (SELECT doc_id, text, strpos(lower(text), 'license') AS i FROM documents)
 SELECT doc_id, CASE WHEN i > 0 THEN regexp_replace(substring(text, greatest(1, i - 60), i + 67 - greatest(1, i - 60)), '^\\s+|\\s+$', '', 'g') ELSE '' END AS context FROM a""",
+        "mojibake_repair": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(replace(text, '–', '-'), '—', '-') || ' pÃ¤ivÃ¤Ã¤ - ' WHEN 1 THEN CASE WHEN regexp_full_match(text, '[\\x00-\\x7F]*') THEN text || ' päivä é' ELSE replace(replace(text, '–', '-'), '—', '-') || ' pÃ¤ivÃ¤ Ã©' END ELSE text END AS text FROM documents""",
         "markdown_elements": f"""WITH {ocr}, s AS (SELECT doc_id, idx, trim(line) AS s FROM dl),
 k AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN regexp_matches(s, '^(---+|\\*\\*\\*+)$') THEN 'hr' WHEN s LIKE '## %' THEN 'h2' WHEN s LIKE '# %' THEN 'h1' WHEN s LIKE '> %' THEN 'quote' ELSE 'p' END AS kind FROM s),
 b AS (SELECT *, (kind <> 'blank' AND (kind IN ('hr', 'h1', 'h2') OR kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY idx), 'blank')))::INT AS st FROM k), g AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM b)

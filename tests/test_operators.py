@@ -25,25 +25,18 @@ def lines(spark, texts):
 
 def test_dehyphenate_to_the_end_of_a_chain(spark):
     rng = random.Random(1)
-    for _ in range(5):
-        texts = ["".join(rng.choice("ab- ") for _ in range(rng.randint(0, 4))) for _ in range(12)]
-        want = list(texts)
-        while True:  # brute force: one pass over pairs after another
-            out, i, changed = [], 0, False
-            while i < len(want):
-                s = want[i].rstrip()
-                if s.endswith("-") and i + 1 < len(want):
-                    out.append(s[:-1] + want[i + 1].lstrip())
-                    i, changed = i + 2, True
-                else:
-                    out.append(want[i])
-                    i += 1
-            want = out
-            if not changed:
-                break
-        got = [r["text"] for r in L.dehyphenate(lines(spark, texts)).orderBy("idx").collect()]
-        if not any(set(t.strip()) == {"-"} or "--" in t for t in texts):
-            assert got == want
+    docs = [["".join(rng.choice("ab- ") for _ in range(rng.randint(0, 4))) for _ in range(12)] for _ in range(60)]
+    docs += [["ab--", "", "c"], ["a--", " ", "b"], ["-", "-", "-"], ["a- -", "", "- -", "b"], ["x-"], ["--", "b-", "c"]]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    got = {}
+    for r in L.dehyphenate(P.document_lines(df)).orderBy("doc_id", "idx").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    for i, texts in enumerate(docs):
+        done = ""  # on one string: a line end behind a hyphen goes with it, as long as any is left
+        for t in texts:
+            ends = done.rstrip(" ").endswith("-") and not done.endswith("\n")
+            done = done.rstrip(" ")[:-1] + t.lstrip() if ends else done + "\n" + t if done or t is not texts[0] else t
+        assert "\n".join(got[i]) == done, texts
 
 
 def test_flowing_markdown_with_tail(spark):
@@ -98,7 +91,7 @@ def test_mojibake_and_cleanup(spark):
     assert one(spark, T.repair_mojibake(F.lit("a – b"))) == "a – b"
     assert one(spark, T.cleaned(F.lit("pa\u0308iva\u0308-\nnä Å"))) == "päivänä Å"
     assert one(spark, T.cleaned(F.lit(None).cast("string"))) is None and one(spark, T.cleaned(F.lit(" a\u0308"))) == "ä"
-    assert one(spark, T.cleaned(F.lit("sano-\nma ­on (3,50 mk"))) == "sanoma on (3,50 mk)"
+    assert one(spark, T.cleaned(F.lit("sano-\nma ­on (sis. 3,50 mk"))) == "sanoma on (sis. 3,50 mk)"
 
 
 def test_column_split_needs_three_narrow_blocks(spark):
@@ -119,12 +112,6 @@ def test_markdown_parts(spark):
     assert one(spark, M.title(md)) == "T" and one(spark, M.body_paragraphs(md)) == ["body one", "## H", "body two"]
 
 
-def test_markdown_sink_refuses_empty(spark, tmp_path):
-    M.write(spark.createDataFrame([(1, " # T ")], "doc_id long, markdown string"), str(tmp_path / "a"))
-    with pytest.raises(Exception, match="empty markdown"):
-        M.write(spark.createDataFrame([(1, " ")], "doc_id long, markdown string"), str(tmp_path / "b"))
-
-
 def test_file_drop_stream(spark, tmp_path):
     from quillgrid.streaming import file_drop
 
