@@ -31,7 +31,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 RUNS = [regex.compile(p) for p in (r"\p{L}*", r"\p{N}*", r"\s*", r"[^\s\p{L}\p{N}]*")]
 SPACE = RUNS[2]
 LONG, BLOCK, CHUNK = 1 << 10, 1 << 12, 1 << 16
-CACHED, PAIRS = 120_000, 120_000
+CACHED, PAIRS = 400_000, 400_000
+#: Entries of them that a worker may keep between tasks.
+KEPT = 50_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -71,6 +73,12 @@ class Merges:
         self.fits: dict[int, bool] = {}
         self.known: dict[str, tuple] = {}
 
+    def forget(self) -> None:
+        """Gives back what a task has learned, but for little, so that workers that wait hold little memory."""
+        for cache in (self.known, self.fits):
+            if len(cache) > KEPT:
+                cache.clear()
+
     def longest_chain(self) -> int:
         """Bytes that the longest chain of merges covers: from the last rank down, the best continuation of each merge
         is the best later one whose right part starts with this one's left part."""
@@ -324,6 +332,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 part = b.slice(i, 256)
                 columns = zip(*(one(t.as_py() or "", m) for t in part.column(1)), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names=names)
+        m.forget()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return mapped(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)

@@ -666,12 +666,67 @@ def test_queries_match_sql(spark):
         assert rows(queries.queries()[name](spark, sf).toPandas()) == rows(con.sql(sql).df()), name
 
 
+def test_classes_of_real_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
+    want = jaccard_classes([r["text"] or "" for r in docs])
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_documents(spark.createDataFrame(docs)).collect()}
+    assert [got[r["doc_id"]] for r in docs] == [docs[i]["doc_id"] for i in want] and len(set(want)) < len(docs)
+
+
+def brute_mix(rows):
+    """How often each (doc_id, text, source) is taken, by the definition."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    size = defaultdict(int)
+    for _, t, s in rows:
+        size[s] += words(t)
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, target, free, budget = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}, set(order), 1.5 * sum(size.values())
+    while free:
+        level = budget / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] >= 2 * size[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: 2.0 * size[s] for s in full}
+        budget -= sum(target[s] for s in full)
+        free -= full
+
+    def key(doc_id, t):
+        bits = int(hashlib.md5("|".join(["mix", str(doc_id), hashlib.md5(t.encode()).hexdigest()]).encode()).hexdigest()[:12], 16)
+        signs = len(re.findall(mix.PUNCTUATION, t))
+        return -np.log((bits + 0.5) / 2**48) / (max(0.1, 1 - 4 * signs / len(t)) if t else 0.1)
+
+    out = {}
+    for s in order:
+        epochs = int(target[s] // size[s]) if size[s] else 0
+        rest, upto = target[s] - epochs * size[s], 0
+        for _, (i, t) in sorted((key(i, t), (i, t)) for i, t, x in rows if x == s):
+            upto += words(t)
+            out[i] = epochs + (rest > 0 and upto - words(t) / 2 <= rest)
+    return out
+
+
 def test_pipeline(spark):
+    """run() against brute force: dense scores, classes of all pairs, the mix by its definition, the library's ids. The
+    models are the stages' own; other tests hold them against theirs."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
     out = corpus_pipeline.run(spark, sf).collect()
-    ids = {r["doc_id"] for r in out}
-    assert len(names) == 5 and out and all(r["same"] for r in out) and ids <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "language ID", "SimHash near-dedup", "mixing sources to target weights", "BPE encoding and decoding"]
+    model = ordinal.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    at = [g for g in model.grades[1:] if g >= 1][0]
+    dense = lambda t: sum(model.weights[i] * x for i, x in zip(*ordinal.features(t), strict=True))
+    rows = [r for r in docs.collect() if 1 / (1 + np.exp(-(dense(r["text"]) - model.thresholds[model.grades[1:].index(at)]))) >= 0.5]
+    good = spark.createDataFrame(rows, docs.schema)
+    languages = kn_langid.train(good, kn_langid.learned(F.col("doc_id")))
+    accepted = {r["doc_id"] for r in kn_langid.predict(good, languages).collect() if r["accepted"]}
+    rows = sorted((r for r in rows if r["doc_id"] in accepted), key=lambda r: r["doc_id"])
+    group = jaccard_classes([r["text"] or "" for r in rows])
+    rows = [r for i, r in enumerate(rows) if group[i] == i]
+    taken = brute_mix([(r["doc_id"], r["text"] or "", r["source"]) for r in rows])
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted((r["doc_id"], library.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows for _ in range(taken[r["doc_id"]]))
+    assert sorted((r["doc_id"], r["ids"]) for r in out) == want and all(r["same"] for r in out) and len(want) > 50
