@@ -32,11 +32,13 @@ def test_dehyphenate_to_the_end_of_a_chain(spark):
     for r in L.dehyphenate(P.document_lines(df)).orderBy("doc_id", "idx").collect():
         got.setdefault(r["doc_id"], []).append(r["text"])
     for i, texts in enumerate(docs):
-        done = ""  # on one string: a line end behind a hyphen goes with it, as long as any is left
+        want: list[str] = []
         for t in texts:
-            ends = done.rstrip(" ").endswith("-") and not done.endswith("\n")
-            done = done.rstrip(" ")[:-1] + t.lstrip() if ends else done + "\n" + t if done or t is not texts[0] else t
-        assert "\n".join(got[i]) == done, texts
+            if want and want[-1].rstrip().endswith("-"):
+                want[-1] = want[-1].rstrip()[:-1] + t.lstrip()
+            else:
+                want.append(t)
+        assert got[i] == want, texts
 
 
 def test_flowing_markdown_with_tail(spark):
@@ -57,7 +59,7 @@ def test_geometry(spark):
     assert (pdf["x1"], pdf["y1"]) == pytest.approx((59.5, 119.0))
     poly = F.array(F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(1.0), F.lit(9.0)), F.array(F.lit(7.0)))
     assert tuple(one(spark, G.poly_box(poly))) == (1.0, 4.0, 3.0, 9.0)
-    assert one(spark, G.fit_font(F.lit(10), F.lit(50.0), F.lit(20.0), 14, 6)) == 10.0
+    assert one(spark, G.fit_text(F.lit("x" * 10), F.lit(50.0), F.lit(20.0), F.lit(14.0), 6.0, 0.5, 1.2)) == 10.0
 
 
 def test_page_json_shapes(spark):
