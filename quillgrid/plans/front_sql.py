@@ -184,6 +184,8 @@ sz0 AS (SELECT *, {_fit("upper(masthead)", _WIDE, _TALL["masthead"] * 0.38, min(
   {_fit("lower_headline", _WIDE, _TALL["lower"] * 0.7, min(28.0, _TALL["lower"] * 0.55), 14.0, 0.55)} AS z_lower FROM model),
 sz1 AS (SELECT *, CASE WHEN z_name0 > 30 THEN z_name0 - 0.5 * list_filter(range(0, 200), lambda k: z_name0 - k * 0.5 <= 30 OR z_label * 1.15 + (z_name0 - k * 0.5) * 1.12 <= {_TALL["masthead"] * 0.90!r})[1] ELSE z_name0 END AS z_name FROM sz0),
 sized AS (SELECT * EXCLUDE (z_label), CASE WHEN z_label > 14 THEN z_label - 0.5 * list_filter(range(0, 200), lambda k: z_label - k * 0.5 <= 14 OR (z_label - k * 0.5) * 1.15 + z_name * 1.12 <= {_TALL["masthead"] * 0.90!r})[1] ELSE z_label END AS z_label FROM sz1)"""
+#: Roles' sizes in sized, and constants.
+_SIZES = {"masthead_label": "z_label", "newspaper_name": "z_name", "main_headline": "z_main", "secondary_headline": "z_second", "lower_headline": "z_lower", "issue_meta": "6.0", "hero_sidebar_body": "7.0", "image_caption": "5.5", "bottom_column_body": "5.5", "continuation_box": "8.5"}
 _NL = "chr(10)"
 OUT = SIZED + f""",
 out0 AS (SELECT *, coalesce(image_caption, '') AS caption, concat_ws({_NL}, '**' || masthead || ' — ' || newspaper_name || '**' || {_NL}, issue_meta, date_meta, {_NL} || '---' || {_NL}, price_meta, {_NL} || '# ' || main_headline || {_NL}, '## ' || secondary_headline, CASE WHEN sidebar <> '' THEN {_NL} || sidebar END,
@@ -368,6 +370,17 @@ f AS (SELECT *, contains(upper(s), 'N:O') AS issue, {_DAYS} AS dated, regexp_mat
 SELECT page, pos, contains(upper(s), 'ERISTETTHIN') OR len(list_filter(range(1, length(s) - 2), lambda i: s[i] = s[i + 1] AND s[i] = s[i + 2] AND s[i] = s[i + 3] AND s[i] <> chr(10))) > 0 AS noise, issue, dated AS date, stars, price,
   len(list_filter(ls[:3], lambda l: contains(upper(l), 'N:O') OR {_DAYS.replace("(s)", "(l)")} OR regexp_matches(l, '^[*☆★ ]*$') OR (contains(upper(l), 'MK') AND (contains(upper(l), 'SIS.') OR contains(upper(l), 'LVV') OR contains(upper(l), 'ALV'))))) > 0 AS starts, regexp_matches(trim(s), '^(?i)sivu\\s+[0-9]+$') AS page_number,
   regexp_matches(s, '(?i)\\balmond\\b') OR contains(lower(s), 'ste') AS truncated, CASE WHEN length(flat) > 72 THEN flat[:71] || '…' ELSE flat END AS preview, array_to_string(ls, chr(10)) AS segment, coalesce(ls[1], '') AS first, {_CAPTION} AS caption FROM f""",
+        "overlay_plan": f"""WITH {TYPED}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y1, x1, pos) * 2 AS rn FROM fb)
+SELECT page, 1 AS z, (rn + i)::INT AS n, CASE i WHEN 0 THEN 'rect' ELSE 'text' END AS op, round(x1 * 0.595, 6) AS x, round(y1 * 0.595, 6) AS y, round((x2 - x1) * 0.595, 6) AS w, round((y2 - y1) * 0.595, 6) AS h, CASE i WHEN 1 THEN block_type END AS text, 6.0::DOUBLE AS size, 'red' AS colour FROM o, (VALUES (0), (1)) v(i)""",
+        "facsimile_plan": f"""WITH {TYPED}, o AS (SELECT *, (y2 - y1) * 0.595 AS hp, row_number() OVER (PARTITION BY page ORDER BY y1, x1, pos) AS rn FROM fb)
+SELECT page, 1 AS z, rn::INT AS n, 'hidden' AS op, round(x1 * 0.595, 6) AS x, round(y1 * 0.595, 6) AS y, round((x2 - x1) * 0.595, 6) AS w, round(hp, 6) AS h, text, round(CASE {_ROLE} WHEN 'masthead' THEN {_OF(10.0, 28.0, 0.55)} WHEN 'headline' THEN {_OF(12.0, 36.0, 0.65)} WHEN 'caption' THEN {_OF(7.0, 12.0, 0.45)} WHEN 'meta' THEN {_OF(7.0, 12.0, 0.45)} ELSE {_OF(7.0, 11.0, 0.42)} END, 6) AS size, NULL AS colour FROM o WHERE block_type <> 'hero_image' AND trim(text) <> ''
+UNION ALL SELECT DISTINCT page, 0, 0, 'image', 0.0, 0.0, 595.0, 714.0, 'page', NULL, NULL FROM fb""",
+        "typography_styles": "WITH RECURSIVE " + SIZED + " " + " UNION ALL ".join(f"SELECT '{r}' AS role, '{f}' AS font, '{w}' AS weight, '{al}' AS align, {up} AS upper, {c} AS condensed, '{col}' AS colour, count(*) AS pages, round(avg({_SIZES.get(r, r)}), 6) AS size FROM sized" for r, f, _, w, c, up, col, al, _, _ in typography.STYLES),
+        "engine_documents": f"""WITH {RESULTS}, one AS (SELECT k, len(list_filter(flatten(bl), lambda p: trim(p) <> '')) > 0 AS text_there, photo, title, md FROM t), two AS (SELECT k, len(list_filter(flatten(bl), lambda p: trim(p) <> '')) > 0 AS text_there, photo, title, md, conf FROM s),
+src AS (SELECT coalesce(one.k, two.k) AS k, one.k IS NOT NULL AS has_t, coalesce(one.text_there OR (one.photo AND trim(one.title) NOT IN ('', 'Asiakirja')), false) AS own, coalesce(two.text_there OR (two.photo AND trim(two.title) NOT IN ('', 'Asiakirja')), false) AS other FROM one FULL JOIN two ON one.k = two.k),
+bod AS (SELECT t.k, t.mt, s.title AS st, lower(trim(regexp_replace(array_to_string(t.ps, ' '), '\\s+', ' ', 'g'))) AS tb, lower(trim(regexp_replace(CASE WHEN s.title = '' THEN '# ' ELSE '' END || array_to_string(list_filter(list_transform(string_split_regex(s.md[length('# ' || s.title) + 1:], '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' '), '\\s+', ' ', 'g'))) AS sb FROM t JOIN s USING (k)),
+con AS (SELECT k, concat_ws(',', CASE WHEN k % 3 = 0 THEN 'layout:layout_engine' END, CASE WHEN tb <> sb AND tb <> '' AND sb <> '' THEN 'text:text_engine' END, CASE WHEN trim(mt) <> '' AND trim(st) <> '' AND lower(trim(regexp_replace(mt, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(st, '\\s+', ' ', 'g'))) THEN 'title:text_engine' END) AS conflicts FROM bod)
+SELECT src.k AS doc_id, CASE WHEN own THEN 'text' WHEN other THEN 'merged' WHEN has_t THEN 'text' ELSE 'none' END AS source, coalesce(conflicts, '') AS conflicts, conf < 0.6 OR trim(two.title) IN ('', 'Asiakirja') OR NOT (two.text_there OR two.photo) AS weak, CASE WHEN two.k IS NULL THEN NULL WHEN two.k % 3 = 0 THEN 2 ELSE 1 END AS columns FROM src LEFT JOIN con USING (k) LEFT JOIN two ON two.k = src.k""",
         "near_blocks": f"""WITH {BLOCKS}, p AS (SELECT a.page, a.pos, b.pos AS other, a.x1, a.y1, a.x2, a.y2, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) AS dx, greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS dy, a.x2 - a.x1 AS wa, b.x2 - b.x1 AS wb, a.y2 - a.y1 AS ha, b.y2 - b.y1 AS hb,
   greatest(0, greatest(a.x1, b.x1) - least(a.x2, b.x2)) AS gap, abs(a.x1 + a.x2 - b.x1 - b.x2) / 2 AS ox, abs(a.y1 + a.y2 - b.y1 - b.y2) / 2 AS oy FROM blocks a JOIN blocks b ON a.page = b.page AND a.pos < b.pos)
 SELECT page, pos, other, round(x1 / 1000, 9) AS rel_x, round(y1 / 1200, 9) AS rel_y, round(wa / 1000, 9) AS rel_w, round(ha / 1200, 9) AS rel_h, least(x1, 699)::INT AS x, least(y1, 599)::INT AS y, greatest(1, least(wa, 700 - least(x1, 699)))::INT AS width, greatest(1, least(ha, 600 - least(y1, 599)))::INT AS height
