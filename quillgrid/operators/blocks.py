@@ -219,10 +219,6 @@ def with_candidates(blocks: DataFrame, candidates: DataFrame) -> DataFrame:
     return blocks.select("page", "id", "reading_order", "block_type", "text", "engine", "x1", "y1", "x2", "y2").unionByName(new)
 
 
-#: Candidates that don't depend on pixels: type, x1, y1, x2, y2 as parts of the page.
-FIXED_CANDIDATES = (("continuation_box", 0.78, 0.88, 0.97, 0.97),)
-
-
 def page_layout(blocks: DataFrame, others: DataFrame | None = None, candidates: DataFrame | None = None, w: float = PAGE_WIDTH, h: float = PAGE_HEIGHT) -> DataFrame:
     """A page's layout: (page, id, reading_order, block_type, font_role, render_mode, text, engine, confidence, x1..y2,
     px1..py2 in points). blocks: page, pos, label, text, x1..y2, block_order; running heads and blocks without a box are

@@ -162,6 +162,11 @@ def crops(phrases: Sequence[str] = ("ILTA-SANOMAT", "JO 39 KUOLONUHRIA", "TEHDAS
     return F.array(*fixed, *said, check("structural_pdf_only_photo_crops", F.col("images").between(1, 2), F.concat(F.lit("images="), F.col("images").cast("string"))))
 
 
+def drawn() -> Column:
+    """Of render.facts' rows: no image covers the page, and the continuation box is white on black."""
+    return F.array(check("no_full_page_background", ~F.col("full_page")), check("continuation_box_white_text", F.col("white_box")))
+
+
 def order(places: Mapping[str, Column], height: Column) -> Column:
     """Of places' tops (hero, main, secondary, masthead, bottom; null where nothing is there): the photo is in the middle of
     the page, headlines above it, the lower one below, the masthead above all."""

@@ -95,3 +95,8 @@ def hygiene_checks(files: DataFrame, emit_facsimile: bool) -> DataFrame:
         checks["no_facsimile_in_ocr_by_default"] = ~has(debug & pdf & F.contains("name", F.lit("_facsimile")))
     rows = files.groupBy("doc_id").agg(*[v.alias(k) for k, v in checks.items()])
     return rows.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("passed"), F.lit("").alias("detail")) for k in checks])).alias("c")).select("doc_id", "c.*")
+
+
+def distinct_paths(paths: Column) -> Column:
+    """Paths in order, each once."""
+    return F.array_distinct(F.filter(paths, lambda p: p.isNotNull()))

@@ -104,6 +104,20 @@ def content_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page", F.array_join(one, ",").alias("segments"), *[v.alias(c) for c, v in joined.items()], "content_loss", "content_quality", "quality_result")
 
 
+def sidebar_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sidebar with lines repeated and the lower headline put in, cleaned; and the caption with what a blob adds."""
+    model = _model(spark, sf_dir)
+    noisy = F.concat_ws("\n", "sidebar_text", F.col("lower_headline.text"), "sidebar_text", F.lit("Lataamorakennuksen luona"))
+    caption = N.enriched(N.text_of("image_caption"), F.concat(F.lit("Ja sitten "), F.col("main_headline.text"), F.lit(" viimein loppui kaikki")), (("viimein", 8), ("murhe", 5)))
+    return model.withColumn("sidebar_text", noisy).select("page", N.clean_sidebar().alias("sidebar"), caption.alias("caption"))
+
+
+def drawn_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = _classified(spark, sf_dir)
+    facts = X.facts(X.structural(every)).unionByName(X.facts(X.facsimile(every)).withColumn("page", -1 - F.col("page")))
+    return C.exploded(facts, C.drawn()).select("page", "name", "passed")
+
+
 def typography_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = K.with_sizes(_model(spark, sf_dir), G.PDF_WIDTH, PDF_HEIGHT, Settings())
     box = K.metadata_box()

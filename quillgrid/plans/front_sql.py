@@ -8,7 +8,7 @@ from ..operators.blocks import FONT_ROLES, READING_ORDER
 from ..operators.frontpage import SINGLE
 from ..settings import Settings
 from .front import CANDIDATES
-from .oracles import _MEETS, BLOCKS, CLASSIFIED, STACKED, _case, _iou
+from .oracles import _MEETS, BLOCKS, CLASSIFIED, NOISY, STACKED, _case, _dehyphenated, _iou, _paragraphs, titled
 
 _SAID = (
     (1, "'N:o 87 / 1976' || chr(10) || text"), (2, "'TIISTAINA 13. PNÄ'"), (3, "'***'"), (4, "'1 mk (sis. lvv)' || chr(10) || text"), (5, "'Jatkuu takasivulle' || chr(10) || text"),
@@ -381,6 +381,21 @@ src AS (SELECT coalesce(one.k, two.k) AS k, one.k IS NOT NULL AS has_t, coalesce
 bod AS (SELECT t.k, t.mt, s.title AS st, lower(trim(regexp_replace(array_to_string(t.ps, ' '), '\\s+', ' ', 'g'))) AS tb, lower(trim(regexp_replace(CASE WHEN s.title = '' THEN '# ' ELSE '' END || array_to_string(list_filter(list_transform(string_split_regex(s.md[length('# ' || s.title) + 1:], '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' '), '\\s+', ' ', 'g'))) AS sb FROM t JOIN s USING (k)),
 con AS (SELECT k, concat_ws(',', CASE WHEN k % 3 = 0 THEN 'layout:layout_engine' END, CASE WHEN tb <> sb AND tb <> '' AND sb <> '' THEN 'text:text_engine' END, CASE WHEN trim(mt) <> '' AND trim(st) <> '' AND lower(trim(regexp_replace(mt, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(st, '\\s+', ' ', 'g'))) THEN 'title:text_engine' END) AS conflicts FROM bod)
 SELECT src.k AS doc_id, CASE WHEN own THEN 'text' WHEN other THEN 'merged' WHEN has_t THEN 'text' ELSE 'none' END AS source, coalesce(conflicts, '') AS conflicts, conf < 0.6 OR trim(two.title) IN ('', 'Asiakirja') OR NOT (two.text_there OR two.photo) AS weak, CASE WHEN two.k IS NULL THEN NULL WHEN two.k % 3 = 0 THEN 2 ELSE 1 END AS columns FROM src LEFT JOIN con USING (k) LEFT JOIN two ON two.k = src.k""",
+        "drawn_checks": f"""WITH {PLANNED} SELECT page, 'no_full_page_background' AS name, NOT full_page AS passed FROM facts UNION ALL SELECT page, 'continuation_box_white_text', white_box FROM facts UNION ALL SELECT -1 - page, unnest(['no_full_page_background', 'continuation_box_white_text']), false FROM facts""",
+        "sidebar_cleanup": f"""WITH RECURSIVE {MODEL}, n AS (SELECT page, sidebar, cols, lower_headline, unnest(string_split(sidebar || chr(10) || lower_headline || chr(10) || sidebar, chr(10))) AS s, generate_subscripts(string_split(sidebar || chr(10) || lower_headline || chr(10) || sidebar, chr(10)), 1) AS i FROM model),
+k AS (SELECT page, s, min(i) AS i FROM n WHERE trim(s) <> '' AND upper(s) <> upper(lower_headline) AND NOT (contains(upper(s), 'LAPUA') AND contains(upper(s), 'ERISTET')) AND NOT contains(upper(s), 'LATAAMORAKENNU') GROUP BY page, s), j AS (SELECT page, string_agg(s, chr(10) || chr(10) ORDER BY i) AS t FROM k GROUP BY page),
+c AS (SELECT page, 0 AS i, coalesce(t, '') AS t, cols FROM model LEFT JOIN j USING (page) UNION ALL SELECT page, i + 1, CASE WHEN length(trim(cols[i + 1])[:40]) > 18 THEN regexp_replace(replace(t, trim(cols[i + 1])[:40], ''), '^\\s+|\\s+$', '', 'g') ELSE t END, cols FROM c WHERE i < len(cols)),
+z AS (SELECT page, arg_max(t, i) AS t FROM c GROUP BY page)
+SELECT page, regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g') AS sidebar, CASE WHEN p > 0 AND NOT contains(lower(c1), 'murhe') THEN trim(c1 || ' ' || trim(substr(blob, greatest(1, p - 5), p + 10 - greatest(1, p - 5)))) ELSE c1 END AS caption FROM (
+  SELECT page, t, trim(coalesce(image_caption, '') || ' ' || trim(right('Ja sitten ' || main_headline || ' ', 8) || 'viimein loppui ')) AS c1, 'Ja sitten ' || main_headline || ' viimein loppui kaikki' AS blob, strpos(lower('Ja sitten ' || main_headline || ' viimein loppui kaikki'), 'murhe') AS p FROM z JOIN model USING (page))""",
+        "line_documents": f"""WITH RECURSIVE {NOISY}, sl AS (SELECT *, CASE WHEN doc_id % 3 = 1 AND idx % 4 = 1 THEN 60.0::DOUBLE ELSE 0 END AS x_min FROM noisy), setl AS (SELECT *, CASE WHEN doc_id % 3 = 1 AND idx % 4 <> 3 THEN x_min + 40 ELSE 100.0 END AS x_max FROM sl), {titled("setl", True)},
+ex AS (SELECT *, x_max - x_min AS wd, (x_min + x_max) / 2 AS c, greatest(1.0, max(x_max) OVER (PARTITION BY doc_id) - min(x_min) OVER (PARTITION BY doc_id)) AS extent FROM kept),
+gp AS (SELECT doc_id, c, extent, lag(c) OVER (PARTITION BY doc_id ORDER BY c, idx) AS before, count(*) OVER (PARTITION BY doc_id) AS n FROM ex WHERE wd < 0.62 * extent),
+sp AS (SELECT doc_id, (c + before) / 2 AS split FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c - before DESC, c) AS k FROM gp WHERE before IS NOT NULL) WHERE k = 1 AND n >= 3 AND c - before > 0 AND c - before >= 0.12 * extent),
+sd AS (SELECT doc_id * 3 + CASE WHEN split IS NULL OR wd >= 0.62 * extent THEN 2 WHEN c < split THEN 0 ELSE 1 END AS doc_id, idx, text, x_min, x_max, y_min, y_max FROM ex LEFT JOIN sp USING (doc_id) WHERE NOT regexp_matches(trim(text), '^(?i)sivu\\s+[0-9]+$')), {_dehyphenated("sd", "se", True)}, {_paragraphs("se")},
+bl AS (SELECT s.doc_id // 3 AS doc_id, s.doc_id % 3 AS side, any_value(y) AS y, string_agg(p.text, chr(10) || chr(10) ORDER BY par) AS ps FROM (SELECT doc_id, min(y_min) AS y FROM se GROUP BY doc_id) s JOIN pars p ON p.doc_id = s.doc_id AND p.text <> '' GROUP BY s.doc_id),
+dm AS (SELECT doc_id, string_agg(CASE side WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'full' END, ',' ORDER BY y, side) AS kinds, count(*) FILTER (side < 2) >= 2 AS multi, string_agg(CASE side WHEN 0 THEN '## Vasen palsta' WHEN 1 THEN '## Oikea palsta' ELSE '## Leveä lohko' END || chr(10) || chr(10) || ps, chr(10) || chr(10) ORDER BY y, side) AS md FROM bl GROUP BY doc_id)
+SELECT doc_id, CASE WHEN md IS NULL THEN split_part(title, '.', 1)[:120] ELSE title END AS title, coalesce(kinds, 'full') AS kinds, coalesce(multi, false) AS multi, '# ' || trim(CASE WHEN md IS NULL THEN split_part(title, '.', 1)[:120] ELSE title END) || chr(10) || chr(10) || coalesce(md, '## Leveä lohko' || chr(10) || chr(10) || trim(title)) || chr(10) AS markdown FROM tt LEFT JOIN dm USING (doc_id)""",
         "near_blocks": f"""WITH {BLOCKS}, p AS (SELECT a.page, a.pos, b.pos AS other, a.x1, a.y1, a.x2, a.y2, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) AS dx, greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS dy, a.x2 - a.x1 AS wa, b.x2 - b.x1 AS wb, a.y2 - a.y1 AS ha, b.y2 - b.y1 AS hb,
   greatest(0, greatest(a.x1, b.x1) - least(a.x2, b.x2)) AS gap, abs(a.x1 + a.x2 - b.x1 - b.x2) / 2 AS ox, abs(a.y1 + a.y2 - b.y1 - b.y2) / 2 AS oy FROM blocks a JOIN blocks b ON a.page = b.page AND a.pos < b.pos)
 SELECT page, pos, other, round(x1 / 1000, 9) AS rel_x, round(y1 / 1200, 9) AS rel_y, round(wa / 1000, 9) AS rel_w, round(ha / 1200, 9) AS rel_h, least(x1, 699)::INT AS x, least(y1, 599)::INT AS y, greatest(1, least(wa, 700 - least(x1, 699)))::INT AS width, greatest(1, least(ha, 600 - least(y1, 599)))::INT AS height

@@ -15,14 +15,17 @@ noisy AS (SELECT doc_id, idx, CASE WHEN (doc_id + idx) % 5 = 0 THEN text || '-'
   (12 * idx + 20 * (idx // 4))::DOUBLE + CASE WHEN doc_id % 3 = 0 AND idx % 11 = 0 THEN 24.0 ELSE 10.0 END AS y_max FROM lines)"""
 
 
-def _dehyphenated(source: str, name: str) -> str:
-    """Line by line: what has come together so far either ends in '-' and takes in the next line, or is done."""
+def _dehyphenated(source: str, name: str, wide: bool = False) -> str:
+    """Line by line: what has come together so far either ends in '-' and takes in the next line, or is done. wide: boxes'
+    left and right edges are joined too."""
+    low, high = ("y_min", *["x_min"] * wide), ("y_max", *["x_max"] * wide)
+    edges = ", ".join(low + high)
+    joined = ", ".join(f"CASE WHEN j THEN {f}(r.{c}, n.{c}) ELSE n.{c} END" for f, cs in (("least", low), ("greatest", high)) for c in cs)
     return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS i FROM {source}),
-{name}_r AS (SELECT doc_id, i, idx, text, y_min, y_max, 1 AS g FROM {name}_n WHERE i = 1 UNION ALL
-  SELECT n.doc_id, n.i, CASE WHEN j THEN r.idx ELSE n.idx END, CASE WHEN j THEN left(rtrim(r.text), length(rtrim(r.text)) - 1) || ltrim(n.text) ELSE n.text END,
-    CASE WHEN j THEN least(r.y_min, n.y_min) ELSE n.y_min END, CASE WHEN j THEN greatest(r.y_max, n.y_max) ELSE n.y_max END, r.g + (NOT j)::INT
+{name}_r AS (SELECT doc_id, i, idx, text, {edges}, 1 AS g FROM {name}_n WHERE i = 1 UNION ALL
+  SELECT n.doc_id, n.i, CASE WHEN j THEN r.idx ELSE n.idx END, CASE WHEN j THEN left(rtrim(r.text), length(rtrim(r.text)) - 1) || ltrim(n.text) ELSE n.text END, {joined}, r.g + (NOT j)::INT
   FROM (SELECT *, rtrim(text) LIKE '%-' AS j FROM {name}_r) r JOIN {name}_n n ON n.doc_id = r.doc_id AND n.i = r.i + 1),
-{name} AS (SELECT doc_id, idx, text, y_min, y_max FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY i DESC) AS k FROM {name}_r) WHERE k = 1)"""
+{name} AS (SELECT doc_id, idx, text, {edges} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY i DESC) AS k FROM {name}_r) WHERE k = 1)"""
 
 
 def _median(source: str, name: str) -> str:
@@ -141,6 +144,21 @@ def _corrected() -> str:
     return t
 
 
+def titled(source: str, wide: bool = False) -> str:
+    """Titles (tt), what ends a document (tails), and the lines between (kept)."""
+    cut120 = "CASE WHEN length(f) > 120 THEN rtrim(left(f, 117)) || '...' ELSE f END"
+    return f"""{_headline(source)},
+headed AS (SELECT DISTINCT doc_id FROM head), {_dehyphenated("head", "hd")},
+ht AS (SELECT doc_id, string_agg(trim(text), ' ' ORDER BY idx) FILTER (trim(text) <> '') AS title FROM hd GROUP BY doc_id),
+rest AS (SELECT * FROM {source} ANTI JOIN head USING (doc_id, idx)), {_dehyphenated("rest", "rd", wide)},
+num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM rd),
+tops AS (SELECT doc_id, trim(max(text) FILTER (n = 1)) AS f, max(trim(text)) FILTER (n = 2) AS s FROM num ANTI JOIN headed USING (doc_id) GROUP BY doc_id),
+ft AS (SELECT doc_id, CASE WHEN length(f) < 10 AND s IS NOT NULL THEN rtrim(left(trim(f || ' ' || s), 120)) WHEN f = '' THEN 'Asiakirja' ELSE {cut120} END AS title,
+  CASE WHEN length(f) < 10 AND s IS NOT NULL THEN 2 ELSE 1 END AS used FROM tops),
+body AS (SELECT num.* FROM num LEFT JOIN ft USING (doc_id) WHERE n > coalesce(used, 0)), {_trailing("body")},
+kept AS (SELECT tr.* FROM tr JOIN tails USING (doc_id) WHERE r > used), tt AS (SELECT doc_id, title FROM ht UNION ALL SELECT doc_id, title FROM ft)"""
+
+
 def _replaced(t: str, table: tuple) -> str:
     for bad, good in table:
         for x, y in dict.fromkeys(((bad, good), (bad.upper(), good.upper()))):
@@ -153,19 +171,8 @@ def _finalized(t: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    cut120 = "CASE WHEN length(f) > 120 THEN rtrim(left(f, 117)) || '...' ELSE f END"
-    flowing = f"""WITH RECURSIVE {NOISY}, {_headline("noisy")},
-headed AS (SELECT DISTINCT doc_id FROM head), {_dehyphenated("head", "hd")},
-ht AS (SELECT doc_id, string_agg(trim(text), ' ' ORDER BY idx) FILTER (trim(text) <> '') AS title FROM hd GROUP BY doc_id),
-rest AS (SELECT * FROM noisy ANTI JOIN head USING (doc_id, idx)), {_dehyphenated("rest", "rd")},
-num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM rd),
-tops AS (SELECT doc_id, trim(max(text) FILTER (n = 1)) AS f, max(trim(text)) FILTER (n = 2) AS s FROM num ANTI JOIN headed USING (doc_id) GROUP BY doc_id),
-ft AS (SELECT doc_id, CASE WHEN length(f) < 10 AND s IS NOT NULL THEN rtrim(left(trim(f || ' ' || s), 120)) WHEN f = '' THEN 'Asiakirja' ELSE {cut120} END AS title,
-  CASE WHEN length(f) < 10 AND s IS NOT NULL THEN 2 ELSE 1 END AS used FROM tops),
-body AS (SELECT num.* FROM num LEFT JOIN ft USING (doc_id) WHERE n > coalesce(used, 0)), {_trailing("body")},
-kept AS (SELECT tr.* FROM tr JOIN tails USING (doc_id) WHERE r > used), {_paragraphs("kept")},
-pb AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY par) AS body FROM pars WHERE text <> '' GROUP BY doc_id),
-tt AS (SELECT doc_id, title FROM ht UNION ALL SELECT doc_id, title FROM ft)
+    flowing = f"""WITH RECURSIVE {NOISY}, {titled("noisy")}, {_paragraphs("kept")},
+pb AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY par) AS body FROM pars WHERE text <> '' GROUP BY doc_id)
 SELECT doc_id, concat_ws(chr(10) || chr(10), '# ' || trim(title), body, dateline, '**' || signature || '**') || chr(10) AS markdown FROM tt LEFT JOIN pb USING (doc_id) LEFT JOIN tails USING (doc_id)"""
     tail = "CASE doc_id % 4 WHEN 0 THEN chr(10) || 'Porvoo, 3 May 1987' WHEN 1 THEN chr(10) || 'OULU 1901,' || chr(10) || 'as told' || chr(10) || 'A. B. EDITOR.' WHEN 2 THEN chr(10) || 'THE BOARD.' ELSE '' END"
     cover = _CUT.format(a="a", b="b")

@@ -146,12 +146,15 @@ def filled(width: int, height: int, polygons: Sequence[Sequence[Sequence[float]]
     return mask
 
 
-def _spread(mask: np.ndarray, size: int) -> np.ndarray:
-    """mask with a box of size around each of its points."""
-    pad = size // 2
-    total = np.pad(mask.astype(np.int64), pad).cumsum(0).cumsum(1)
+def _spread_wide(mask: np.ndarray, wide: int, tall: int) -> np.ndarray:
+    """mask with a box of these odd sizes around each of its points."""
+    total = np.pad(mask.astype(np.int64), ((tall // 2,) * 2, (wide // 2,) * 2)).cumsum(0).cumsum(1)
     total = np.pad(total, ((1, 0), (1, 0)))
-    return total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size] > 0
+    return total[tall:, wide:] - total[:-tall, wide:] - total[tall:, :-wide] + total[:-tall, :-wide] > 0
+
+
+def _spread(mask: np.ndarray, size: int) -> np.ndarray:
+    return _spread_wide(mask, size, size)
 
 
 def texture(g: np.ndarray) -> np.ndarray:
@@ -220,6 +223,63 @@ def photo_box(pixels: np.ndarray, text: Sequence[Sequence[Sequence[float]]] = ()
     return core
 
 
+def dark(g: np.ndarray) -> np.ndarray:
+    """Which pixels of a blurred page are dark, by the threshold that parts its brightness best (Otsu)."""
+    kernel = np.array([1, 4, 6, 4, 1]) / 16
+    blurred = g.astype(np.float64)
+    for axis in (0, 1):
+        padded = np.pad(blurred, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="reflect")
+        blurred = sum(k * np.take(padded, range(i, i + g.shape[axis]), axis) for i, k in enumerate(kernel))
+    blurred = blurred.round().astype(np.uint8)
+    n = np.bincount(blurred.ravel(), minlength=256).astype(np.float64)
+    below, total = np.cumsum(n), np.cumsum(n * np.arange(256))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = (total[-1] * below / below[-1] - total) ** 2 / (below * (below[-1] - below))
+    return blurred <= int(np.nanargmax(np.where(np.isfinite(apart), apart, -1)))
+
+
+def regions(pixels: np.ndarray) -> list[tuple[str, float, float, float, float]]:
+    """(block type, x1, y1, x2, y2) of coarse regions of a front page: up to two wide dark bands in its upper part among the
+    twelve largest parts, a lively middle, a dark right side, a dark foot in four columns, and always the place of the
+    continuation box."""
+    h, w = pixels.shape[:2]
+    g = grey(pixels)
+    ink = dark(g)
+    wide = max(15, w // 40) | 1
+    closed = ~_spread_wide(~_spread_wide(ink, wide, 3), wide, 3)
+    out: list[tuple[str, float, float, float, float]] = []
+    for x, y, pw, ph, _ in sorted(parts(closed), key=lambda p: -p[4])[:12]:
+        if pw >= 0.45 * w and 0.015 * h <= ph <= 0.12 * h and y <= 0.45 * h and len(out) < 2:
+            out.append((("main_headline", "secondary_headline")[len(out)], float(x), float(y), float(x + pw), float(y + ph)))
+    middle = g[int(h * 0.18) : int(h * 0.72), int(w * 0.05) : int(w * 0.62)]
+    if middle.size and middle.astype(np.float64).var() > 900:
+        out.append(("hero_image", w * 0.05, h * 0.22, w * 0.62, h * 0.72))
+    if (right := ink[:, int(w * 0.72) :]).size and 255 * right.mean() > 12:
+        out.append(("right_sidebar", w * 0.72, h * 0.18, w * 0.97, h * 0.78))
+    if (foot := ink[int(h * 0.72) :, :]).size and 255 * foot.mean() > 10:
+        out += [("bottom_columns", i * w / 4, h * 0.72, (i + 1) * w / 4 - w * 0.02, h * 0.95) for i in range(4)]
+    return [*out, ("continuation_box", w * 0.78, h * 0.88, w * 0.97, h * 0.97)]
+
+
+def candidates(files: DataFrame, decoder: Callable[[bytes], np.ndarray] = decode) -> DataFrame:
+    """(path, n, block_type, x1, y1, x2, y2): regions of image files (path, content), in order; none for files that can't be
+    read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    rows += [(path, n, *r) for n, r in enumerate(regions(decoder(content.as_py())))]
+                except (ValueError, struct.error, zlib.error):
+                    continue
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = (pa.string(), pa.int32(), pa.string(), *[pa.float64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "n", "block_type", "x1", "y1", "x2", "y2"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, n int, block_type string, x1 double, y1 double, x2 double, y2 double")
+
+
 def sizes(files: DataFrame, decoder: Callable[[bytes], np.ndarray] = decode) -> DataFrame:
     """(path, width, height) of image files (path, content); nulls for what can't be read."""
 
