@@ -86,12 +86,12 @@ def test_a_photo_is_found_apart_from_text(spark):
 
 def test_regions_of_a_page(spark):
     pixels = np.full((600, 500, 3), 255, np.uint8)
-    pixels[40:70, 50:450] = 0
-    pixels[90:115, 60:430] = 10
+    pixels[40:70, 50:390] = 0
+    pixels[90:115, 60:380] = 10
     pixels[200:400, 60:280] = np.random.default_rng(4).integers(0, 255, (200, 220, 3))
     kinds = R.regions(pixels)
     assert [k for k, *_ in kinds] == ["main_headline", "secondary_headline", "hero_image", "continuation_box"]
-    assert kinds[0][1] < 60 and kinds[0][3] > 440 and abs(kinds[0][2] - 40) <= 3
+    assert kinds[0][1] < 60 and kinds[0][3] > 380 and abs(kinds[0][2] - 40) <= 3
     pixels[450:, ::3] = 0
     assert [k for k, *_ in R.regions(pixels)].count("bottom_columns") == 4
     files = spark.createDataFrame([("a", bytearray(R.encode(pixels))), ("b", bytearray(b""))], "path string, content binary")
