@@ -651,6 +651,29 @@ def test_join_equals_brute_force(spark):
         assert got == want
 
 
+# --- all
+
+def test_a_very_long_text_beside_empty_ones(spark):
+    rng = random.Random(14)
+    long = "".join(" ".join(rng.choice(WORDS) + str(rng.randrange(9999)) for _ in range(rng.randint(1, 30))) + rng.choice([". ", ".\n", "\n\n"]) for _ in range(8000))
+    rows = [(1, long, "en", "s"), (2, "", None, "s"), (3, None, "en", None), (4, long[:-50], "en", "t"), (5, "a few words", "en", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert len(long) > 900_000
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    words = [len((t or "").split()) for _, t, _, _ in rows]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert [r["n_tokens"] > 1 for r in token_records.record_table(df, path).orderBy("doc_id").collect()] == [True, False, False, True, True]
+    trees = {r["doc_id"]: r for r in merkle.fingerprint_documents(df).collect()}
+    assert trees[1]["n_chars"] == len(long) and trees[3]["near_next"] < 0.1 and len(trees[1]["fingerprint"]) == 64
+    assert [r["component_id"] for r in simhash.near_duplicates(df).orderBy("doc_id").collect()][1:3] == [2, 2]
+    assert {r["doc_id"]: r["component"] for r in simhash.similar_documents(df).collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 5: 5}
+    assert ordinal.graded(df, labels).count() == 5 and kn_langid.identify(df).where("lang_pred = 'und'").count() == 2
+    assert all(r["same"] for r in bpe_stream.round_trip(df, public_tokenizers.path("byte_bpe_50k.json")).collect())
+    assert {r["doc_id"]: r["n_bytes"] for r in media_sniff.stored_and_examined(df).collect()}[1] == len(long)
+    assert [r["size"] for r in mix.mixed_sizes(df).orderBy("doc_id").collect()] == words and [r["n_words"] > 0 for r in license_join.scan(df).orderBy("doc_id").collect()] == [True, False, False, True, True]
+    assert {r["doc_id"] for r in simhash.one_of_each(df.withColumn("_doc", F.lit(1)).withColumn("h", F.lit("x"))).collect()} == {1, 2, 5}
+
+
 # --- queries and SQL
 
 def test_queries_match_sql(spark):
