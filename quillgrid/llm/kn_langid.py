@@ -36,6 +36,8 @@ FOLDS = 8
 #: Nats above a language's mean that are always accepted; for short texts, more by this over the root of their symbols.
 SLACK, SHORT_TEXT = 1.0, 4.0
 SHARPNESS = 12.0
+#: Names of the models of all rows, and of all but one fold's.
+ALL, REST = "a", "r"
 BLOCK = 1 << 19
 _symbols: list[np.ndarray] = []
 
@@ -200,14 +202,15 @@ class Model:
         return -sums / np.maximum(n, 1)[:, None], n
 
 
-def _model(counts: DataFrame, langs: list[str], order: int, send_bytes: int) -> Model:
-    places = counts.sparkSession.createDataFrame(list(enumerate(langs)), "at int, lang string")
-    table = written(_fitted(counts, order).join(places, "lang").drop("lang"), "model")
+def _model(table: DataFrame, langs: list[str], which: str, order: int, send_bytes: int) -> Model:
+    """Of what _fitted gives for languages named `which` and a language: the model of langs."""
+    places = table.sparkSession.createDataFrame([(i, which + x) for i, x in enumerate(langs)], "at int, lang string")
+    own = table.join(places, "lang").drop("lang")
     model = Model(langs, order, np.full(len(langs), np.inf))
-    if 16 * table.count() > send_bytes:
-        model.table = table
+    if 16 * own.count() > send_bytes:
+        model.table = written(own, "model")
         return model
-    got = table.toArrow()
+    got = own.toArrow()
     k, kind, gram, value, at = (got.column(c).to_numpy() for c in ("k", "kind", "gram", "log", "at"))
     model.arrays = {(i, j): Arrays(gram[(k == i) & (kind == j)], at[(k == i) & (kind == j)], value[(k == i) & (kind == j)]) for i in range(1, order + 1) for j in (0, 1)}
     return model
@@ -292,21 +295,22 @@ def train(docs: DataFrame, training: Column, order: int = ORDER, send_bytes: int
     grams = mapped(rows, _counted(order), "lang string, fold int, gram long, n long")
     rest = F.sum(F.col("n") * F.col("fold"))
     grams = written(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"), rest.alias("rest")), "ngrams")
-    langs = sorted(r[0] for r in grams.select("lang").distinct().collect())
-    if not langs:
+    seen = {r["lang"]: r["rest"] for r in grams.groupBy("lang").agg(F.max("rest").alias("rest")).collect()}
+    if not seen:
         return Model([], order, np.zeros(0))
-    model = _model(grams.select("lang", "gram", "n"), langs, order, send_bytes)
-    calibrate(model, grams.where("rest > 0").select("lang", "gram", F.col("rest").alias("n")), rows.where("fold = 0"), send_bytes)
+    # both models are fitted at once, each language twice: of all rows, and of those but the fold's
+    every = grams.select(F.concat(F.lit(ALL), "lang").alias("lang"), "gram", "n").union(grams.where("rest > 0").select(F.concat(F.lit(REST), "lang"), "gram", "rest"))
+    table = written(_fitted(every, order), "fitted")
+    model = _model(table, sorted(seen), ALL, order, send_bytes)
+    learned_without = sorted(x for x, rest in seen.items() if rest)
+    if learned_without:
+        calibrate(model, _model(table, learned_without, REST, order, send_bytes), rows.where("fold = 0"))
     return model
 
 
-def calibrate(model: Model, counts: DataFrame, rows: DataFrame, send_bytes: int) -> None:
-    """Sets model.worst from rows (lang, text) and the counts of the other folds."""
-    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    if not langs:
-        return
-    other = _model(counts, langs, model.order, send_bytes)
-    own = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+def calibrate(model: Model, other: Model, rows: DataFrame) -> None:
+    """Sets model.worst from rows (lang, text), which other hasn't seen."""
+    own = F.create_map(*[F.lit(x) for i, lang in enumerate(other.langs) for x in (lang, i)])
     rows = rows.select("text", "lang", F.xxhash64("text").alias("copy")).where(F.try_element_at(own, F.col("lang")).isNotNull())
     scored = _measured(rows, other, ("lang", "copy")).where("n > 0").select("lang", "copy", F.get("h", F.try_element_at(own, F.col("lang"))).alias("h"))
     stats = scored.groupBy("lang", "copy").agg(F.first("h").alias("h")).groupBy("lang").agg(F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd")).collect()
