@@ -81,14 +81,14 @@ def visual_metrics(placed: DataFrame, w: float = PAGE_WIDTH, h: float = PAGE_HEI
 
 def photo_scores(blocks: DataFrame, w: float = PAGE_WIDTH, h: float = PAGE_HEIGHT) -> DataFrame:
     """(page, pos, score): the likeliest photo among image blocks of 4 to 55 % of the page, of a photo's aspect and not at
-    the page's border on three sides; the first among equals. Points for size, aspect and standing to the left."""
+    the page's border on three sides; the first among equals (to 12 places). Points for size, aspect and standing to the left."""
     size = G.area(box()) / (w * h)
     aspect = (F.col("x2") - F.col("x1")) / F.greatest(F.lit(1.0), F.col("y2") - F.col("y1"))
     rows = blocks.where(F.col("label").isin(*IMAGE_LABELS)).where(size.between(0.04, 0.55) & aspect.between(0.35, 2.8) & ~G.touches_border(box(), F.lit(w), F.lit(h)))
     point = lambda c, v: F.when(c, v).otherwise(0.0)
-    score = size + point(aspect.between(0.55, 1.8), 0.08) + point(size.between(0.10, 0.30), 0.10) + point(F.col("x1") < 0.55 * w, 0.03)
-    best = rows.groupBy("page").agg(F.min(F.struct((-score).alias("s"), "pos")).alias("m"))
-    return best.select("page", "m.pos", (-F.col("m.s")).alias("score"))
+    score = size + point(aspect.between(0.55, 1.8), 0.08) + point(size.between(0.10, 0.30), 0.10) + point(F.col("x1") / w < 0.55, 0.03)
+    best = rows.groupBy("page").agg(F.min(F.struct((-F.round(score, 12)).alias("s"), "pos", score.alias("score"))).alias("m"))
+    return best.select("page", "m.pos", "m.score")
 
 
 def round_robin(pars: DataFrame, columns: int = 5) -> DataFrame:

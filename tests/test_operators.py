@@ -183,3 +183,11 @@ def test_wrapped_equals_brute_force(spark):
 def test_phrase_context(spark):
     assert one(spark, T.phrase_context(F.lit("one two THREE four five"), "three", 4)) == "two THREE fou"
     assert one(spark, T.phrase_context(F.lit("one"), "three")) == "" and one(spark, T.phrase_context(F.lit(None).cast("string"), "x")) is None
+
+
+def test_photo_points_end_at_their_limit(spark):
+    """0.55 of 700 is 385, though not as a product of doubles; scores that differ in their last bits only are equal."""
+    rows = [(1, 1, "image", 385.0, 100.0, 585.0, 300.0), (2, 1, "image", 384.0, 100.0, 584.0, 300.0)]
+    df = spark.createDataFrame(rows, "page long, pos int, label string, x1 double, y1 double, x2 double, y2 double")
+    got = {r["page"]: round(r["score"], 9) for r in Y.photo_scores(df, 700.0, 700.0).collect()}
+    assert got == {1: round(40000 / 490000 + 0.08, 9), 2: round(40000 / 490000 + 0.11, 9)}
