@@ -26,8 +26,13 @@ GAPS = (
 WHITESPACE, HERO_WIDTH, SIDEBAR_WIDTH = 0.15, 0.70, 0.18
 
 
+def _fixed(x: float) -> float:
+    """A product of fixed values as the decimal number it stands for: else its last bits decide what lies on a limit."""
+    return round(x, 9)
+
+
 def _pdf_height(w: float, h: float) -> float:
-    return h * G.PDF_WIDTH / w
+    return _fixed(h * G.PDF_WIDTH / w)
 
 
 def stacked(zones: DataFrame, w: float = PAGE_WIDTH, h: float = PAGE_HEIGHT) -> DataFrame:
@@ -35,29 +40,29 @@ def stacked(zones: DataFrame, w: float = PAGE_WIDTH, h: float = PAGE_HEIGHT) ->
     as its minimum, the sidebar beside the hero and the continuation box at the columns' foot; what goes beyond the
     usable page is pressed together. share: of the content's width. One aggregation by page, the rest is arithmetic."""
     wide, tall = G.PDF_WIDTH, _pdf_height(w, h)
-    margin = wide * MARGIN
-    content, top = wide - 2 * margin, margin * 0.6
+    margin = _fixed(wide * MARGIN)
+    content, top = _fixed(wide - 2 * margin), _fixed(margin * 0.6)
     of = lambda zone, measure: F.max(F.when(F.col("zone") == zone, F.col(measure)))
     rows = zones.groupBy("page").agg(
         *[of(z, "h").alias(f"h_{z}") for z, _, _ in STACK if z != "caption"], F.lit(CAPTION_HEIGHT).alias("h_caption"),
         of("continuation", "h").alias("h_continuation"), *[of(z, "w").alias(f"w_{z}") for z in WIDTHS], of("columns", "y").alias("y_columns"),
     )
     least = {z: m for z, m, _ in STACK} | {"continuation": CONTINUATION_HEIGHT}
-    rows = rows.withColumns({f"h_{z}": F.greatest(F.lit(tall * m), F.col(f"h_{z}") * tall) for z, m in least.items()} | {f"w_{z}": G.clamp(F.col(f"w_{z}"), *v) for z, v in WIDTHS.items()})
+    rows = rows.withColumns({f"h_{z}": F.greatest(F.lit(_fixed(tall * m)), F.col(f"h_{z}") * tall) for z, m in least.items()} | {f"w_{z}": G.clamp(F.col(f"w_{z}"), *v) for z, v in WIDTHS.items()})
     rows = rows.withColumn("tight", F.greatest(F.lit(1.0), F.col("w_hero") + F.col("w_sidebar") + GUTTER))
     rows = rows.withColumns({f"w_{z}": F.col(f"w_{z}") / F.col("tight") for z in ("hero", "sidebar")})
     y: Column = F.lit(top)
     tops = {}
     for z, _, gap in STACK:
         tops[z] = F.greatest(y, F.col("y_columns") * tall * 0.98) if z == "columns" else y
-        y = y + F.col(f"h_{z}") + tall * gap * GAP_SCALE
+        y = y + F.col(f"h_{z}") + _fixed(tall * gap * GAP_SCALE)
     rows = rows.withColumns({f"y_{z}": v for z, v in tops.items()})
     foot = F.col("y_columns") + F.col("h_columns")
     bottom = F.greatest(foot, F.col("y_lower") + F.col("h_lower"))
-    rows = rows.withColumn("press", F.least(F.lit(1.0), tall * USABLE / bottom)).withColumn("y_continuation", foot - F.col("h_continuation"))
+    rows = rows.withColumn("press", F.least(F.lit(1.0), _fixed(tall * USABLE) / bottom)).withColumn("y_continuation", foot - F.col("h_continuation"))
     shares = {z: F.lit(1.0) for z, _, _ in STACK} | {"columns": F.lit(COLUMNS_WIDTH), "hero": F.col("w_hero"), "sidebar": F.col("w_sidebar"), "caption": F.col("w_hero"), "continuation": F.col("w_continuation")}
-    lefts = {"sidebar": margin + (F.col("w_hero") + GUTTER) * content, "continuation": wide - margin - F.col("w_continuation") * content}
-    placed, origin = [], margin * 0.5
+    lefts = {"sidebar": margin + (F.col("w_hero") + GUTTER) * content, "continuation": _fixed(wide - margin) - F.col("w_continuation") * content}
+    placed, origin = [], _fixed(margin * 0.5)
     for z, share in shares.items():
         beside = "hero" if z == "sidebar" else z
         at = origin + (F.col(f"y_{beside}") - origin) * F.col("press")
@@ -68,10 +73,10 @@ def stacked(zones: DataFrame, w: float = PAGE_WIDTH, h: float = PAGE_HEIGHT) ->
 def visual_metrics(placed: DataFrame, w: float = PAGE_WIDTH, h: float = PAGE_HEIGHT) -> DataFrame:
     """(page, a gap for each of GAPS, whitespace, hero_width, sidebar_width, warnings) of stacked zones; gaps and white
     space are shares of the page's and the content's height."""
-    tall, margin = _pdf_height(w, h), G.PDF_WIDTH * MARGIN
+    tall, margin = _pdf_height(w, h), _fixed(G.PDF_WIDTH * MARGIN)
     of = lambda zone, value: F.max(F.when(F.col("zone") == zone, value))
     gaps = {f"{a}_{b}": (of(b, F.col("y")) - of(a, F.col("y") + F.col("h"))) / tall for a, b, _, _ in GAPS}
-    inner = tall - 2 * margin
+    inner = _fixed(tall - 2 * margin)
     whitespace = F.greatest(F.lit(0.0), inner - (F.max(F.col("y") + F.col("h")) - margin)) / inner
     rows = placed.groupBy("page").agg(*[v.alias(n) for n, v in gaps.items()], whitespace.alias("whitespace"), of("hero", F.col("share")).alias("hero_width"), of("sidebar", F.col("share")).alias("sidebar_width"))
     bad = [(F.col(f"{a}_{b}") > most, name) for a, b, most, name in GAPS]

@@ -201,3 +201,11 @@ def test_largest_image_is_the_first_of_equal_areas(spark):
     plan = spark.createDataFrame(rows, "page long, z int, n int, op string, x double, y double, w double, h double, text string, size double, colour string")
     assert points(110) * points(60) > points(100) * points(66)
     assert render.facts(plan).first()["image_top"] == 7.0
+
+
+def test_pressed_gaps_lie_on_their_decimal(spark):
+    """Order 2975's blocks end at the page's foot: the zones are pressed by 0.965, and 0.0081 * 0.965 is 0.0078165."""
+    lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").where("l_orderkey = 2975")
+    blocks = P.derived_blocks(lines, spark.read.parquet("/root/testdata/sf0.1/part.parquet"))
+    got = Y.visual_metrics(Y.stacked(B.zones(B.classify(blocks)))).select(F.round("headline_hero", 6).alias("v")).first()["v"]
+    assert got == 0.007817
