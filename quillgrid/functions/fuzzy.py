@@ -49,9 +49,12 @@ def token_set_ratio(a: str, b: str) -> float:
     both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
     if both and (not left or not right):
         return 100.0
-    one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
-    best = ratio(one, two)
-    return max(best, ratio(both, one), ratio(both, two)) if both else best
+    if not both:
+        return ratio(left, right)
+    # what all begin with is common to them
+    n = len(both)
+    one, two = n + 1 + len(left), n + 1 + len(right)
+    return max(200.0 * (n + 1 + common(left, right)) / (one + two), 200.0 * n / (n + one), 200.0 * n / (n + two))
 
 
 def alike(a: dict, b: dict) -> float | None:

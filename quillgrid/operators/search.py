@@ -5,12 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fuzzy import alike, distinct, token_set_ratio
+from ..functions.likeness import LEAST, Likeness, near, overlap
 from ..sources.pages import PAGE_HEIGHT, PAGE_WIDTH
 from .blocks import READING_ORDER, classify, looked_up, page_types
 
@@ -24,7 +27,7 @@ REGIONS = {
 OVERLAP, LIKENESS, LEAST_OVERLAP, LEAST_LIKENESS, FREE, CHARS, TAKEN_OVER = 0.55, 0.45, 0.08, 0.75, 0.12, 4, 0.9
 
 
-def overlap(a: dict, b: dict) -> float:
+def overlap_of(a: dict, b: dict) -> float:
     """Common area by joint area of plain boxes."""
     w, h = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
     if w <= 0 or h <= 0:
@@ -39,7 +42,7 @@ def enriched(block: dict, others: list[dict]) -> dict:
     counts. Others that can't win aren't compared."""
     text, norm, best = block["text"], block["norm"], 0.0
     for o in others:
-        common = overlap(block, o)
+        common = overlap_of(block, o)
         if OVERLAP * common + LIKENESS <= best:
             continue
         like = token_set_ratio(norm, o["norm"]) / 100
@@ -51,14 +54,14 @@ def enriched(block: dict, others: list[dict]) -> dict:
     # its worth as a duplicate is that of the new words
     found = next(o for o in others if o["text"] == text)
     sure = max(block["confidence"], TAKEN_OVER)
-    return block | {"text": text, "norm": norm, "engine": "text_engine", "confidence": sure, "quality": found["worth"] + 20 * sure + 15}
+    return block | {"text": text, "norm": norm, "words": found.get("words"), "engine": "text_engine", "confidence": sure, "quality": found["worth"] + 20 * sure + 15}
 
 
 def supplemented(blocks: list[dict], others: list[dict]) -> list[dict]:
     """Others of some length that overlap none of the blocks, nor of those added before, and aren't like one of them."""
     out = list(blocks)
     for o in others:
-        if len(o["text"]) < CHARS or any(overlap(o, b) >= FREE for b in out) or any(alike(o, b) is not None for b in out):
+        if len(o["text"]) < CHARS or any(overlap_of(o, b) >= FREE for b in out) or any(alike(o, b) is not None for b in out):
             continue
         out.append(o)
     return out[len(blocks) :]
@@ -66,14 +69,16 @@ def supplemented(blocks: list[dict], others: list[dict]) -> list[dict]:
 
 def _rows(blocks: DataFrame, engine: str, first: int) -> DataFrame:
     """(page, rows): an array of blocks with all that the steps need; texts are stripped and mended."""
-    text = T.strip(T.repair_mojibake(F.coalesce("text", F.lit(""))))
-    worth = F.length(text) - F.when(T.is_noise(text), 25.0).otherwise(0.0)
     bonus = 15.0 if engine == "text_engine" else 0.0
+    # each text is mended, judged and normalised once: what follows reads columns
+    text = T.strip(T.repair_mojibake(F.coalesce("text", F.lit(""))))
+    rows = blocks.where("x1 is not null").select("page", (F.col("pos") + first).cast("int").alias("pos"), text.alias("text"), "confidence", "block_type", "x1", "y1", "x2", "y2").where("text <> ''")
+    rows = rows.withColumn("worth", (F.length("text") - F.when(T.is_noise(F.col("text")), 25.0).otherwise(0.0)).cast("double")).withColumn("norm", T.normalized_for_match(F.col("text")))
     row = F.struct(
-        (F.col("pos") + first).cast("int").alias("pos"), text.alias("text"), T.normalized_for_match(text).alias("norm"), F.lit(engine).alias("engine"), F.col("confidence"), looked_up(REGIONS, F.col("block_type"), "").alias("region"), "block_type",
-        worth.cast("double").alias("worth"), (worth + 20 * F.col("confidence") + bonus).alias("quality"), "x1", "y1", "x2", "y2",
+        "pos", "text", "norm", F.lit(engine).alias("engine"), "confidence", looked_up(REGIONS, F.col("block_type"), "").alias("region"), "block_type",
+        "worth", (F.col("worth") + 20 * F.col("confidence") + bonus).alias("quality"), "x1", "y1", "x2", "y2",
     )
-    return blocks.where(F.col("x1").isNotNull() & (text != "")).groupBy("page").agg(F.array_sort(F.collect_list(row)).alias(engine))
+    return rows.groupBy("page").agg(F.array_sort(F.collect_list(row)).alias(engine))
 
 
 def layer(blocks: DataFrame, others: DataFrame | None = None, w: float = PAGE_WIDTH, h: float = PAGE_HEIGHT) -> DataFrame:
@@ -92,24 +97,120 @@ def layer(blocks: DataFrame, others: DataFrame | None = None, w: float = PAGE_WI
     item = "pos:int,text:string,engine:string,block_type:string,confidence:double,x1:double,y1:double,x2:double,y2:double"
     schema = f"page long, kept array<struct<{item}>>, removed array<struct<kept_pos:int,pos:int,similarity:double,kept_preview:string,preview:string>>, n_before int"
     names = [x.split(":")[0] for x in item.split(",")]
-    kept_type = pa.list_(pa.struct([(n, pa.int32() if n == "pos" else pa.string() if n in ("text", "engine", "block_type") else pa.float64()) for n in names]))
-    removed_type = pa.list_(pa.struct([("kept_pos", pa.int32()), ("pos", pa.int32()), ("similarity", pa.float64()), ("kept_preview", pa.string()), ("preview", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, removed, before = [], [], []
-            for mine, theirs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                found = [enriched(x, theirs or []) for x in mine or []]
-                found += supplemented(found, theirs or [])
-                stay, gone = distinct(found)
-                before.append(len(found))
-                kept.append([{n: x[n] for n in names} for x in stay])
-                removed.append([{"kept_pos": k["pos"], "pos": g["pos"], "similarity": score, "kept_preview": preview(k["text"]), "preview": preview(g["text"])} for k, g, score in gone])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, kept_type), pa.array(removed, removed_type), pa.array(before, pa.int32())], names=["page", "kept", "removed", "n_before"])
+            rows = _Rows(b.column(1), b.column(2))
+            pages = [rows.merged(*p) if p[1] - p[0] + p[3] - p[2] <= MATRIX else rows.merged_plainly(*p) for p in rows.pages]
+            kept, gone, starts = [x for p in pages for x in p[0]], [x for p in pages for x in p[1]], lambda i: np.cumsum([0, *(len(p[i]) for p in pages)])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(starts(0), rows.kept(kept, names)), _lists(starts(1), rows.removed(gone)), pa.array([p[2] for p in pages], pa.int32())], names=["page", "kept", "removed", "n_before"])
 
     return rows.select(F.col("page").cast("long"), "layout_engine", "text_engine").mapInArrow(run, schema)
 
 
+def _lists(starts: np.ndarray, rows: pa.StructArray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), rows)
+
+
+#: Blocks of a page up to which all of them are compared at once; pages of more are gone through block by block.
+MATRIX = 1024
+_known: list[Likeness] = []
+
+
+class _Rows:
+    """All blocks of a batch of pages, the layout engine's before the text engine's, as arrays. A block that stays is
+    (where it is, where its words are, its confidence)."""
+
+    def __init__(self, mine: pa.ListArray, theirs: pa.ListArray):
+        self.rows = pa.concat_arrays([mine.flatten(), theirs.flatten().cast(mine.type.value_type)])
+        a, b = (np.cumsum([0, *(x or 0 for x in pc.list_value_length(c).to_pylist())]) for c in (mine, theirs))
+        self.pages = list(zip(a[:-1].tolist(), a[1:].tolist(), (b[:-1] + a[-1]).tolist(), (b[1:] + a[-1]).tolist(), strict=True))
+        numbers = lambda c: self.rows.field(c).to_numpy(zero_copy_only=False)
+        self.box, self.pos = [numbers(c) for c in ("x1", "y1", "x2", "y2")], numbers("pos")
+        self.confidence, self.quality, self.worth = (numbers(c) for c in ("confidence", "quality", "worth"))
+        self.norm, self.text = (self.rows.field(c).to_pylist() for c in ("norm", "text"))
+        self.region = self.rows.field("region").dictionary_encode().indices.to_numpy()
+        self.long = pc.utf8_length(self.rows.field("text")).to_numpy() >= CHARS
+        if not _known:
+            _known.append(Likeness())
+        self.known = _known[0]
+
+    def merged(self, a: int, b: int, c: int, d: int) -> tuple[list, list, int]:
+        """What stays and goes of the page whose own blocks are a to b and whose others are c to d; and how many there were
+        before duplicates went: as merged_plainly, all pairs at once."""
+        at, m, known = [*range(a, b), *range(c, d)], b - a, self.known
+        if not at:
+            return [], [], 0
+        box, ids = [x[at] for x in self.box], known.of([self.norm[i] for i in at])
+        common, region = overlap(*box), self.region[at]
+        words, quality = list(at), self.quality[at]
+        confidence = self.confidence[at].tolist()
+        if m and m < len(at):
+            self._enrich(at, m, ids, common, words, quality, confidence)
+        like = known.alike(ids, ids, near(*box), region[:, None] == region[None, :])
+        # others that overlap none and are like none, of the page's own and of those added
+        out, bad = list(range(m)), (common >= FREE) | (like > 0)
+        free = ~bad[m:, :m].any(axis=1) & self.long[at[m:]]
+        for j in (m + np.flatnonzero(free)).tolist():
+            if not bad[j, out[m:]].any():
+                out.append(j)
+        kept, removed = [], []
+        for j in out:
+            row = like[j, kept]
+            k = int((row > 0).argmax()) if kept else 0
+            if not kept or not row[k] > 0:
+                kept.append(j)
+                continue
+            better = quality[j] > quality[kept[k]]
+            removed.append((j, kept[k], float(row[k])) if better else (kept[k], j, float(row[k])))
+            if better:
+                kept[k] = j
+        full = lambda j: (at[j], words[j], confidence[j])
+        return [full(j) for j in kept], [(full(k), full(g), score) for k, g, score in removed], len(out)
+
+    def _enrich(self, at: list[int], m: int, ids: np.ndarray, common: np.ndarray, words: list[int], quality: np.ndarray, confidence: list[float]) -> None:
+        """enriched, for the page's first m blocks: puts in the numbers of their new texts, and what follows from them."""
+        known, theirs = self.known, ids[m:]
+        over = common[:m, m:]
+        tokens, among = known.token_sets(ids[:m], theirs), known.token_sets(theirs, theirs) >= LEAST
+        met = over >= LEAST_OVERLAP
+        can, over, numbers = met | (tokens >= LEAST), over.tolist(), theirs.tolist()
+        for i in np.flatnonzero(can.any(axis=1)).tolist():
+            best, found, own, may = 0.0, -1, int(ids[i]), can[i].tolist()
+            for j, area in enumerate(over[i]):
+                if not may[j] or OVERLAP * area + LIKENESS <= best:
+                    continue
+                like = known.exact(own, numbers[j]) / 100
+                score = OVERLAP * area + LIKENESS * like
+                if score > best and (area >= LEAST_OVERLAP or like >= LEAST_LIKENESS):
+                    best, found, own, may = score, j, numbers[j], (met[i] | among[j]).tolist()
+            text = self.text[at[m + found]] if found >= 0 else self.text[at[i]]
+            if text != self.text[at[i]]:
+                sure = max(confidence[i], TAKEN_OVER)
+                ids[i], words[i], confidence[i] = own, at[m + found], sure
+                quality[i] = self.worth[at[m + found]] + 20 * sure + 15
+
+    def merged_plainly(self, a: int, b: int, c: int, d: int) -> tuple[list, list, int]:
+        """merged, block by block."""
+        rows = lambda i, j: [r | {"at": i + k, "words": i + k} for k, r in enumerate(self.rows[i:j].to_pylist())]
+        mine, theirs = rows(a, b), rows(c, d)
+        found = [enriched(x, theirs) for x in mine]
+        found += supplemented(found, theirs)
+        stay, gone = distinct(found)
+        full = lambda r: (r["at"], r["words"], r["confidence"])
+        return [full(r) for r in stay], [(full(k), full(g), score) for k, g, score in gone], len(found)
+
+    def kept(self, found: list[tuple], names: list[str]) -> pa.StructArray:
+        place, words = (pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))
+        column = lambda n: pa.array([x[2] for x in found], pa.float64()) if n == "confidence" else self.rows.field(n).take(words if n in ("text", "engine") else place)
+        return pa.StructArray.from_arrays([column(n) for n in names], names)
+
+    def removed(self, found: list[tuple]) -> pa.StructArray:
+        pos = [pa.array([self.pos[x[i][0]] for x in found], pa.int32()) for i in (0, 1)]
+        shown = [pa.array([preview(self.text[x[i][1]]) for x in found], pa.string()) for i in (0, 1)]
+        return pa.StructArray.from_arrays([*pos, pa.array([x[2] for x in found], pa.float64()), *shown], ["kept_pos", "pos", "similarity", "kept_preview", "preview"])
+
+
 def preview(text: str, most: int = 72) -> str:
     s = " ".join(text.split())
     return s if len(s) <= most else s[: most - 1] + "…"

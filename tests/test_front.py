@@ -330,3 +330,29 @@ def test_lines_and_zones_need_one_scan_and_one_exchange(spark):
     assert scans_and_exchanges(catalog.queries()["doc_flowing_markdown"](spark, SF)) == (1, 1)
     blocks = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey page", "l_returnflag block_type", "double(l_partkey) x1", "double(l_suppkey) y1", "double(l_partkey + 5) x2", "double(l_suppkey + 5) y2")
     assert scans_and_exchanges(B.zones(blocks)) == (1, 1)
+
+
+def test_pages_merge_at_once_as_block_by_block():
+    """All pairs of a page at once, with a table too small for all pages' texts, against the plain steps."""
+    import random
+
+    import pyarrow as pa
+    from quillgrid.functions.likeness import Likeness
+
+    rng = random.Random(5)
+    said = ["large ring", "old plate", "n o 87 1976 old plate", "tiistaina 13 pnä", "kuvateksti murhe kasvoi old bolt uhrien raunioista", "a", "", "the large ring", "old bolts and large rings of the sea", "and large rings of the se"]
+
+    def block(pos):
+        t = rng.choice(said) if rng.random() < 0.8 else " ".join(rng.choice("old large ring bolt sea the of 87".split()) for _ in range(rng.randrange(1, 9)))
+        t = "".join(rng.sample(t, len(t))) if rng.random() < 0.2 else t
+        x, y, sure = rng.randrange(0, 600), rng.randrange(0, 1100), rng.choice([0.5, 0.6, 0.85, 0.95])
+        return {"pos": pos, "text": t.upper() if rng.random() < 0.3 else t, "norm": " ".join(t.split()), "engine": "text_engine" if pos >= 1000 else "layout_engine", "confidence": sure, "region": rng.choice(["a", "b", ""]), "block_type": "t", "worth": float(len(t)), "quality": len(t) + 20 * sure, "x1": float(x), "y1": float(y), "x2": float(x + rng.randrange(0, 500)), "y2": float(y + rng.randrange(0, 120))}
+
+    pages = [([block(i) for i in range(rng.randrange(0, 40))] or None, [block(1000 + i) for i in range(rng.randrange(0, 20))] or None) for _ in range(60)]
+    kind = pa.list_(pa.struct([(c, pa.string() if isinstance(v, str) else pa.int32() if isinstance(v, int) else pa.float64()) for c, v in block(0).items()]))
+    rows = L._Rows(*(pa.array(side, kind) for side in zip(*pages, strict=True)))
+    rows.known = Likeness(80)
+    shown = lambda p: ([(a, rows.text[b], c) for a, b, c in p[0]], [tuple((a, rows.text[b], c) for a, b, c in g[:2]) + g[2:] for g in p[1]], p[2])
+    for page in rows.pages:
+        assert shown(rows.merged(*page)) == shown(rows.merged_plainly(*page))
+    assert sum(len(rows.merged(*p)[1]) for p in rows.pages) > 100
