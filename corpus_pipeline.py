@@ -27,7 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: five-word shingles, similarity 0.8."""
+    """Keeps one document of each class: links between SimHashes of five-word shingles, each verified at similarity 0.8, and
+    those that no radius in SimHashes finds."""
     return simhash.one_of_each(docs.select(*COLUMNS))
 
 

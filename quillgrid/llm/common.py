@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,9 +87,19 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Da
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of bounded bytes."""
+    """df.mapInArrow(run, schema) with batches of bounded bytes; a worker that waits for its next task holds no memory that
+    its last one has let go of."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(AttributeError, OSError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
 
 
 def lower_ascii(text: Column) -> Column:

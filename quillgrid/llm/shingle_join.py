@@ -1,7 +1,7 @@
 """An exact similarity self-join: every pair of sets of shingles whose Jaccard similarity reaches a threshold.
 
-First, nodes that share a band of MinHash values are compared with the least node of that band, and the pairs that have
-the similarity are linked: that finds most copies, at a few rows a node, and decides nothing about the others. Then a
+First, pairs that the caller found (by their SimHashes), and nodes that share a band of MinHash values with the least node
+of that band, are compared, and the pairs that have the similarity are linked: that finds most copies, at a few rows a node, and decides nothing about the others. Then a
 prefix filter finds every pair that those links leave apart: two sets of at least the similarity share one of the first
 size - ceil(similarity * size) + 1 shingles of each, in any one order of all shingles. The order is by hash, but what many
 of the components' first texts hold, counted in one text of SHARE, comes last: that bears on the work, never on the
@@ -106,8 +106,8 @@ def _prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity:
     return s[np.lexsort((s, often))[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0]]
 
 
-def features(texts: DataFrame, hashes: Hashes) -> DataFrame:
-    """(doc_id, h, key, size, bits, wide, bands) of (doc_id, h, text): key is the same for the same set."""
+def features(texts: DataFrame, hashes: Hashes, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
+    """(doc_id, h, key, fp, size, bits, wide, bands) of (doc_id, h, text): key and fp are the same for the same set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,14 +116,15 @@ def features(texts: DataFrame, hashes: Hashes) -> DataFrame:
                 sets = [np.unique(hashes(t)) for t in _texts(part.column(2))]
                 columns = [
                     pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([fingerprint(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([bitmap(s) for s in sets], pa.binary()),
                     pa.array([wide_bitmap(s) for s in sets], pa.binary()),
                     pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "h", "key", "size", "bits", "wide", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "h", "key", "fp", "size", "bits", "wide", "bands"])
 
-    return mapped(texts.select("doc_id", "h", "text"), run, "doc_id long, h long, key binary, size int, bits binary, wide binary, bands array<long>")
+    return mapped(texts.select("doc_id", "h", "text"), run, "doc_id long, h long, key binary, fp long, size int, bits binary, wide binary, bands array<long>")
 
 
 def prefixes(nodes: DataFrame, texts: DataFrame, hashes: Hashes, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -272,14 +273,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, hashes: Hash
     return written(mapped(both.select("u", "v", "a", "b"), alike, "u long, v long"), "alike")
 
 
-def similar_pairs(nodes: DataFrame, texts: DataFrame, hashes: Hashes, similarity: float, every: int = 16) -> DataFrame:
+def similar_pairs(nodes: DataFrame, texts: DataFrame, hashes: Hashes, similarity: float, first: DataFrame, every: int = 16) -> DataFrame:
     """(u, v) between nodes that connect exactly what all pairs of at least the similarity connect.
 
-    nodes: node, h, size, bits, wide, bands, one for each set; texts: h, text, among them each node's h.
+    nodes: node, h, size, bits, wide, bands, one for each set; texts: h, text, among them each node's h; first: (u, v),
+    u less, pairs to compare before any others are sought.
     """
     banded = nodes.select("node", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(written(least.select("band", "u"), "bands"), "band").where("u <> node").select("u", F.col("node").alias("v")).distinct()
+    pairs = banded.join(written(least.select("band", "u"), "bands"), "band").where("u <> node").select("u", F.col("node").alias("v")).union(first.select("u", "v")).distinct()
     links = _verified(written(pairs, "first"), nodes, texts, hashes, similarity)
     found = connected_components(links)
     linked = nodes.select("node", "h", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

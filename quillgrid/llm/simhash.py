@@ -7,8 +7,9 @@ over the bits not yet used), up to three levels; the last level's shards can't e
 BK-tree is built and searched in the task that reads it: a cluster-wide broadcast of all trees would grow with the
 corpus. Copies never meet in a shard, as only distinct fingerprints enter one.
 
-For a similarity of sets instead of two bits, similar_documents joins sets of shingles exactly (shingle_join): no
-radius in fingerprints would find all pairs of a similarity.
+For a similarity of sets instead of two bits, similar_documents takes every link between fingerprints, keeps those whose
+sets have the similarity, and has the exact join of sets (shingle_join) find what they leave apart: no radius in
+fingerprints would find all pairs of a similarity.
 """
 
 from __future__ import annotations
@@ -203,22 +204,29 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, shard
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), named)
 
 
+def fingerprint_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v), u less, between nodes (node, fp) that connect exactly what all pairs within radius connect."""
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    same = nodes.join(least.withColumnRenamed("node", "u"), "fp").where("u <> node").select("u", F.col("node").alias("v"))
+    return same.union(links(least, radius).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h, component) of every row: h is its text's xxhash64, component the least node of its class.
 
     Texts are linked if the Jaccard similarity of their sets of width-word shingles is at least similarity; every such
-    link counts (shingle_join). Null and wordless texts are one class. Repeated rows come back as often as they came; an
+    link counts: those between SimHashes first, then all others (shingle_join). Null and wordless texts are one class. Repeated rows come back as often as they came; an
     empty table gives no rows; a text of any length is one row.
     """
 
     def classes() -> DataFrame:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
         hashes = partial(shingle_hashes, width=width)
-        rows = written(features(texts, hashes), "features")
+        rows = written(features(texts, hashes, majority_bits), "features")
         # a class of texts without any doc_id gets a node from its least hash
         node = F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.min("h"), 2) + F.lit(NO_ID)).alias("node")
-        nodes = written(rows.groupBy("key").agg(node, F.min("h").alias("h"), *[F.first(c).alias(c) for c in ("size", "bits", "wide", "bands")]), "nodes")
-        found = connected_components(similar_pairs(nodes, texts, hashes, similarity))
+        nodes = written(rows.groupBy("key").agg(node, F.min("h").alias("h"), *[F.first(c).alias(c) for c in ("fp", "size", "bits", "wide", "bands")]), "nodes")
+        found = connected_components(similar_pairs(nodes, texts, hashes, similarity, fingerprint_pairs(nodes.select("node", "fp"))))
         named = nodes.select("key", "node").join(found.withColumnRenamed("component", "c"), "node", "left").select("key", F.coalesce("c", "node").alias("component"))
         return rows.select("doc_id", "h", "key").join(named, "key").select("doc_id", "h", "component")
 

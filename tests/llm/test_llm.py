@@ -753,3 +753,31 @@ def test_pipeline(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted((r["doc_id"], library.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows for _ in range(taken[r["doc_id"]]))
     assert sorted((r["doc_id"], r["ids"]) for r in out) == want and all(r["same"] for r in out) and len(want) > 50
+
+
+def test_similar_documents_start_from_simhashes(spark, monkeypatch):
+    """The links between fingerprints connect what all pairs within two bits connect; the pipeline's stage begins with them."""
+    rng = np.random.default_rng(4)
+    base = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 40)]
+    fps = [f ^ int(sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 4), replace=False))) for f in base for _ in range(6)]
+    got = simhash.fingerprint_pairs(spark.createDataFrame(list(enumerate(fps)), "node long, fp long")).collect()
+    assert all(r["u"] < r["v"] for r in got)
+
+    def classes(pairs):
+        up = list(range(len(fps)))
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(x) for x in range(len(fps))]
+
+    near = [(a, b) for b in range(len(fps)) for a in range(b) if ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 2]
+    assert classes((r["u"], r["v"]) for r in got) == classes(near) and len(set(classes(near))) < len(fps)
+    seen, plain = [], simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda nodes: seen.append(nodes.count()) or plain(nodes))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "x y z")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [1, 3] and seen == [2]
