@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,15 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(tidy, schema)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage, so that their heaps shrink to what is in use: a heap that large sorts have grown
+    stays as large, and the Python workers of what follows come on top. One small task for each executor; where the
+    session forbids the call, nothing changes."""
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is among them
+    with suppress(PySparkException):
+        spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and no other letter."""
     return F.translate(text, UPPER, UPPER.lower())

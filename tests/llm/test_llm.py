@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import io
 import random
@@ -755,6 +756,31 @@ def test_pipeline(spark):
     assert sorted((r["doc_id"], r["ids"]) for r in out) == want and all(r["same"] for r in out) and len(want) > 50
 
 
+def test_stages_begin_on_small_heaps(spark, monkeypatch):
+    """Garbage of 2 GB leaves the JVM's heap before a stage does anything; every stage begins so."""
+    import corpus_pipeline
+
+    docs, size = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark._jvm.java.lang.Runtime.getRuntime().totalMemory
+    garbage = spark._jvm.java.nio.ByteBuffer.allocate(2000 << 20)
+    del garbage
+    gc.collect()
+    before = size()
+    assert before > 2000 << 20
+    assert corpus_pipeline.bpe_encode(spark, docs, "").first()["n_tokens"] == 2
+    assert size() < before - (1 << 30)
+
+    class Begun(Exception):
+        pass
+
+    def begin(_):
+        raise Begun
+
+    monkeypatch.setattr(corpus_pipeline, "give_back", begin)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, docs, "")
+
+
 def test_similar_documents_start_from_simhashes(spark, monkeypatch):
     """The links between fingerprints connect what all pairs within two bits connect; the pipeline's stage begins with them."""
     rng = np.random.default_rng(4)
