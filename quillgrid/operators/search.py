@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fuzzy import alike, distinct, token_set_ratio
-from ..functions.likeness import LEAST, Likeness, near, overlap
+from ..functions.likeness import LEAST, Likeness, near
+from ..functions.likeness import overlap as overlaps
 from ..sources.pages import PAGE_HEIGHT, PAGE_WIDTH
 from .blocks import READING_ORDER, classify, looked_up, page_types
 
@@ -27,7 +28,7 @@ REGIONS = {
 OVERLAP, LIKENESS, LEAST_OVERLAP, LEAST_LIKENESS, FREE, CHARS, TAKEN_OVER = 0.55, 0.45, 0.08, 0.75, 0.12, 4, 0.9
 
 
-def overlap_of(a: dict, b: dict) -> float:
+def overlap(a: dict, b: dict) -> float:
     """Common area by joint area of plain boxes."""
     w, h = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
     if w <= 0 or h <= 0:
@@ -42,7 +43,7 @@ def enriched(block: dict, others: list[dict]) -> dict:
     counts. Others that can't win aren't compared."""
     text, norm, best = block["text"], block["norm"], 0.0
     for o in others:
-        common = overlap_of(block, o)
+        common = overlap(block, o)
         if OVERLAP * common + LIKENESS <= best:
             continue
         like = token_set_ratio(norm, o["norm"]) / 100
@@ -61,51 +62,102 @@ def supplemented(blocks: list[dict], others: list[dict]) -> list[dict]:
     """Others of some length that overlap none of the blocks, nor of those added before, and aren't like one of them."""
     out = list(blocks)
     for o in others:
-        if len(o["text"]) < CHARS or any(overlap_of(o, b) >= FREE for b in out) or any(alike(o, b) is not None for b in out):
+        if len(o["text"]) < CHARS or any(overlap(o, b) >= FREE for b in out) or any(alike(o, b) is not None for b in out):
             continue
         out.append(o)
     return out[len(blocks) :]
 
 
-def _rows(blocks: DataFrame, engine: str, first: int) -> DataFrame:
-    """(page, rows): an array of blocks with all that the steps need; texts are stripped and mended."""
+#: Kinds of rows, in the order in which a page has them: its type, the layout engine's blocks, the text engine's. What a
+#: block has, in the order in which blocks are sorted.
+TYPE, OWN, OTHER = 0, 1, 2
+FIELDS = ("pos", "text", "norm", "engine", "confidence", "region", "block_type", "worth", "quality", "x1", "y1", "x2", "y2")
+
+
+def _rows(blocks: DataFrame, engine: str, kind: int, first: int) -> DataFrame:
+    """(page, kind, FIELDS): blocks with all that the steps need; texts are stripped and mended."""
     bonus = 15.0 if engine == "text_engine" else 0.0
-    # each text is mended, judged and normalised once: what follows reads columns
+    # each text is mended, judged and normalised once: what follows reads columns. Blocks without text are left out after
+    # that, as a filter here would mend each again
     text = T.strip(T.repair_mojibake(F.coalesce("text", F.lit(""))))
-    rows = blocks.where("x1 is not null").select("page", (F.col("pos") + first).cast("int").alias("pos"), text.alias("text"), "confidence", "block_type", "x1", "y1", "x2", "y2").where("text <> ''")
+    rows = blocks.where("x1 is not null").select("page", (F.col("pos") + first).cast("int").alias("pos"), text.alias("text"), F.col("confidence").cast("double").alias("confidence"), "block_type", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
     rows = rows.withColumn("worth", (F.length("text") - F.when(T.is_noise(F.col("text")), 25.0).otherwise(0.0)).cast("double")).withColumn("norm", T.normalized_for_match(F.col("text")))
-    row = F.struct(
-        "pos", "text", "norm", F.lit(engine).alias("engine"), "confidence", looked_up(REGIONS, F.col("block_type"), "").alias("region"), "block_type",
-        "worth", (F.col("worth") + 20 * F.col("confidence") + bonus).alias("quality"), "x1", "y1", "x2", "y2",
-    )
-    return rows.groupBy("page").agg(F.array_sort(F.collect_list(row)).alias(engine))
+    rows = rows.withColumns({"engine": F.lit(engine), "region": looked_up(REGIONS, F.col("block_type"), ""), "quality": F.col("worth") + 20 * F.col("confidence") + bonus})
+    return rows.select("page", F.lit(kind).alias("kind"), *FIELDS)
 
 
 def layer(blocks: DataFrame, others: DataFrame | None = None, w: float = PAGE_WIDTH, h: float = PAGE_HEIGHT) -> DataFrame:
-    """(page, kept, removed, n_before): kept: array of blocks (pos, text, engine, block_type, confidence, x1..y2) in order;
-    removed: (kept_pos, pos, similarity, kept_preview, preview).
+    """(page, kept, removed, n_before, document_type): kept: array of blocks (pos, text, engine, block_type, confidence,
+    x1..y2) in order; removed: (kept_pos, pos, similarity, kept_preview, preview); document_type: as page_types has it.
 
     blocks: classified (page, pos, text, block_type, render_mode, confidence, x1..y2); photos don't take part. others: the
     text engine's (page, pos, label, text, x1..y2); their pos come out as 10,000 more.
+
+    Blocks go to Python as rows sorted by page, in batches of as many blocks, however large the task: a worker holds a batch
+    and what it has of the page that isn't complete.
     """
-    own = _rows(blocks.where("render_mode <> 'image'"), "layout_engine", 0)
-    if others is None:
-        rows = own.withColumn("text_engine", F.lit(None).cast(own.schema["layout_engine"].dataType))
-    else:
-        theirs = _rows(classify(others, w=w, h=h).withColumn("confidence", F.lit(0.85)), "text_engine", 10_000)
-        rows = own.join(theirs, "page", "full")
+    rows = _rows(blocks.where("render_mode <> 'image'"), "layout_engine", OWN, 0)
+    if others is not None:
+        rows = rows.unionByName(_rows(classify(others, w=w, h=h).withColumn("confidence", F.lit(0.85)), "text_engine", OTHER, 10_000))
+    types = page_types(blocks, w, h).select("page", F.lit(TYPE).alias("kind"), F.col("document_type").alias("block_type"))
+    rows = rows.unionByName(types, allowMissingColumns=True).repartition("page").sortWithinPartitions("page", "kind", *FIELDS)
     item = "pos:int,text:string,engine:string,block_type:string,confidence:double,x1:double,y1:double,x2:double,y2:double"
-    schema = f"page long, kept array<struct<{item}>>, removed array<struct<kept_pos:int,pos:int,similarity:double,kept_preview:string,preview:string>>, n_before int"
+    schema = f"page long, kept array<struct<{item}>>, removed array<struct<kept_pos:int,pos:int,similarity:double,kept_preview:string,preview:string>>, n_before int, document_type string"
     names = [x.split(":")[0] for x in item.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = _Rows(b.column(1), b.column(2))
+        for b in whole_pages(batches):
+            page, types, *both = _sides(b)
+            rows = _Rows(*both)
             pages = [rows.merged(*p) if p[1] - p[0] + p[3] - p[2] <= MATRIX else rows.merged_plainly(*p) for p in rows.pages]
             kept, gone, starts = [x for p in pages for x in p[0]], [x for p in pages for x in p[1]], lambda i: np.cumsum([0, *(len(p[i]) for p in pages)])
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(starts(0), rows.kept(kept, names)), _lists(starts(1), rows.removed(gone)), pa.array([p[2] for p in pages], pa.int32())], names=["page", "kept", "removed", "n_before"])
+            yield pa.RecordBatch.from_arrays([page, _lists(starts(0), rows.kept(kept, names)), _lists(starts(1), rows.removed(gone)), pa.array([p[2] for p in pages], pa.int32()), types], names=["page", "kept", "removed", "n_before", "document_type"])
 
-    return rows.select(F.col("page").cast("long"), "layout_engine", "text_engine").mapInArrow(run, schema)
+    return rows.withColumn("page", F.col("page").cast("long")).mapInArrow(run, schema)
+
+
+def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (page, kind, ..), sorted, in batches that end where a page does. Rows of no page are one of each kind."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        # blocks without text, which no step reads
+        b = b.filter(pc.or_(pc.equal(b["kind"], TYPE), pc.not_equal(pc.fill_null(b["text"], ""), "")))
+        if not b.num_rows:
+            continue
+        cut = int(_firsts(b)[-1])
+        if cut or held and _key(held[-1], -1) != _key(b, 0):
+            if held or cut:
+                yield pa.concat_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _key(b: pa.RecordBatch, i: int) -> tuple:
+    page = b["page"][i].as_py()
+    return page, b["kind"][i].as_py() if page is None else None
+
+
+def _firsts(b: pa.RecordBatch) -> np.ndarray:
+    """Where each page's rows begin."""
+    page, none, kind = pc.fill_null(b["page"], 0).to_numpy(), b["page"].is_null().to_numpy(zero_copy_only=False), b["kind"].to_numpy()
+    new = (page[1:] != page[:-1]) | (none[1:] != none[:-1]) | (none[1:] & (kind[1:] != kind[:-1]))
+    return np.flatnonzero(np.concatenate([[True], new]))
+
+
+def _sides(b: pa.RecordBatch) -> tuple[pa.Array, pa.Array, pa.ListArray, pa.ListArray]:
+    """Pages that have blocks, their types, and the blocks of either engine as an array for each page."""
+    kind, firsts = b["kind"].to_numpy(), _firsts(b)
+    blocks = np.add.reduceat(kind != TYPE, firsts, dtype=np.int64)
+    rows = pa.StructArray.from_arrays([b[c] for c in FIELDS], list(FIELDS))
+    lists = []
+    for k in (OWN, OTHER):
+        many = np.add.reduceat(kind == k, firsts, dtype=np.int64)[blocks > 0]
+        lists.append(_lists(np.cumsum([0, *many]), rows.take(pa.array(np.flatnonzero(kind == k)))))
+    firsts = firsts[blocks > 0]
+    types = pa.array([t if k == TYPE and p is not None else None for t, k, p in zip(*(b[c].take(pa.array(firsts)).to_pylist() for c in ("block_type", "kind", "page")), strict=True)], pa.string())
+    return b["page"].take(pa.array(firsts)), types, *lists
 
 
 def _lists(starts: np.ndarray, rows: pa.StructArray) -> pa.ListArray:
@@ -142,7 +194,7 @@ class _Rows:
         if not at:
             return [], [], 0
         box, ids = [x[at] for x in self.box], known.of([self.norm[i] for i in at])
-        common, region = overlap(*box), self.region[at]
+        common, region = overlaps(*box), self.region[at]
         words, quality = list(at), self.quality[at]
         confidence = self.confidence[at].tolist()
         if m and m < len(at):
@@ -230,7 +282,7 @@ def in_reading_order(layers: DataFrame, document_type: Column) -> Column:
 
 def search_text(blocks: DataFrame, others: DataFrame | None = None, w: float = PAGE_WIDTH, h: float = PAGE_HEIGHT) -> DataFrame:
     """(page, segments, full_text, removed, n_before, n_after): texts of the blocks kept, by line, in reading order."""
-    layers = layer(blocks, others, w, h).join(page_types(blocks, w, h).select("page", "document_type"), "page", "left")
+    layers = layer(blocks, others, w, h)
     out = layers.withColumn("kept", in_reading_order(layers, F.coalesce("document_type", F.lit("generic"))))
     out = out.withColumn("segments", F.transform("kept", lambda b: F.array_join(T.text_lines(b["text"]), "\n")))
     return out.select("page", "segments", F.array_join("segments", "\n\n").alias("full_text"), "removed", "n_before", F.size("segments").alias("n_after"))

@@ -356,3 +356,37 @@ def test_pages_merge_at_once_as_block_by_block():
     for page in rows.pages:
         assert shown(rows.merged(*page)) == shown(rows.merged_plainly(*page))
     assert sum(len(rows.merged(*p)[1]) for p in rows.pages) > 100
+
+
+def test_search_layer_holds_a_batch_of_blocks_and_not_of_pages(spark, tmp_path, monkeypatch):
+    """A worker gets so many blocks at once, whatever the number of pages; a page over several batches stays whole, and rows
+    of no page are one of each engine, as a join has them."""
+    base, seen, key = L._Rows, str(tmp_path / "seen"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    class Seen(base):
+        def __init__(self, mine, theirs):
+            base.__init__(self, mine, theirs)
+            with open(seen, "a") as f:
+                f.write(f"{len(self.text)}\n")
+
+    schema = "page long, pos int, label string, text string, x1 double, y1 double, x2 double, y2 double"
+    many = lambda page: 250 if page == 7 else 5
+    made = [(page, i, "text", "" if i % 5 == 4 else f"block {i * 7919 % 1000} of {page}", 0.0, 30.0 * i, 400.0, 30.0 * i + 20) for page in [*range(200), None] for i in range(many(page))]
+    blocks = B.classify(spark.createDataFrame(made, schema)).withColumn("confidence", F.lit(0.85))
+    others = spark.createDataFrame([(page, 1, "text", f"only seen by others on {page}", 500.0, 0.0, 900.0, 20.0) for page in (3, 7, 500, None)], schema)
+    got = {}
+    for most in ("100", "10000"):
+        before = spark.conf.get(key)
+        spark.conf.set(key, most)
+        try:
+            with monkeypatch.context() as m:
+                m.setattr(L, "_Rows", Seen)
+                got[most] = sorted(map(str, L.search_text(blocks, others).collect()))
+                if most == "100":
+                    sizes = [int(x) for x in open(seen)]
+        finally:
+            spark.conf.set(key, before)
+    assert got["100"] == got["10000"] and len(got["100"]) == 203
+    rows = {r["page"]: r["n_before"] for r in L.search_text(blocks, others).where("page is not null").collect()}
+    assert rows == {page: many(page) * 4 // 5 + (page in (3, 7)) for page in range(200)} | {500: 1}
+    assert sorted(sizes)[-2] <= 105 and max(sizes) <= 100 + 201 and sum(sizes) == sum(rows.values()) + 5
